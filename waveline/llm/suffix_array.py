@@ -79,8 +79,13 @@ def _sort_small(at: np.ndarray, words: np.ndarray, jump: np.ndarray, depth: int)
     return order
 
 
-def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None, jump: np.ndarray | None = None) -> np.ndarray:
-    """Positions of all suffixes, ordered by their first ``depth`` bytes at least."""
+def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None, jump: np.ndarray | None = None, ranges: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Positions of all suffixes, ordered by their first ``depth`` bytes at least.
+
+    With ``ranges`` (starts, stops), in order and apart: of the suffixes from each start
+    to the first one at or after its stop that is smaller than its successor, which is
+    as far as the induced places reach back.
+    """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -92,16 +97,26 @@ def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None,
     differs = np.flatnonzero(text != nxt)
     decided = differs[np.searchsorted(differs, np.arange(n))]  # the end of a run of equal bytes decides
     small = text[decided] < nxt[decided]
-    direct = _sort_small(np.flatnonzero(small), words, jump, depth)
+    asked = np.ones(n, bool)
+    if ranges is not None:
+        smaller = np.append(np.flatnonzero(small), n - 1)
+        last = smaller[np.minimum(np.searchsorted(smaller, ranges[1]), len(smaller) - 1)]
+        edges = np.zeros(n + 1, np.int64)
+        np.add.at(edges, ranges[0], 1)
+        np.add.at(edges, last + 1, -1)
+        asked = np.cumsum(edges[:n]) > 0
+    direct = _sort_small(np.flatnonzero(small & asked), words, jump, depth)
     cuts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix
-    parts = []
+    if asked[n - 1]:
+        waiting[text[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix
+    parts = [np.zeros(0, np.int64)]
+    induced = ~small & asked
 
     def induce(found: np.ndarray, byte: int) -> np.ndarray:
         """Hands larger predecessors to their buckets; returns those of this bucket."""
         before = found[found > 0] - 1
-        before = before[~small[before]]
+        before = before[induced[before]]
         first = text[before]
         other = first != byte
         own, before, first = before[~other], before[other], first[other]

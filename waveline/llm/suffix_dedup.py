@@ -90,17 +90,20 @@ def _anchor_rows(length: int):
                 lo = np.maximum(found - before, offsets[doc])
                 hi = np.minimum(found + length, offsets[doc + 1])
                 view = memoryview(data)
-                context, left, right = [], [], []
+                context, left, right, left_all, right_all = [], [], [], [], []
                 for p, a, b in zip(found.tolist(), lo.tolist(), hi.tolist(), strict=True):
                     context.append(xxhash.xxh3_128_digest(view[a:b], seed=p - a))
                     # windows that start up to p - half all hold [p - half, p + GRAM); the others [p, p - half + 1 + length)
-                    left.append(digest(view[p - half : p + GRAM]) if a <= min(p - half, b - length) else None)
-                    right.append(digest(view[p : p - half + 1 + length]) if max(a, p - half + 1) <= b - length else None)
+                    l1, r0, r1 = min(p - half, b - length), max(a, p - half + 1), min(p, b - length)
+                    left.append(digest(view[p - half : p + GRAM]) if a <= l1 else None)
+                    left_all.append(digest(view[a : l1 + length]) if a <= l1 else None)
+                    right.append(digest(view[p : p - half + 1 + length]) if r0 <= r1 else None)
+                    right_all.append(digest(view[r0 : r1 + length]) if r0 <= r1 else None)
                 begin = offsets[doc]
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("h1").take(take), batch.column("h2").take(take), *(pa.array((x - begin).astype(np.int32)) for x in (found, lo, hi)), pa.array(context, pa.binary()), pa.array(left, pa.int64()), pa.array(right, pa.int64())],
-                    names=["h1", "h2", "at", "lo", "hi", "context", "left", "right"],
+                    [batch.column("h1").take(take), batch.column("h2").take(take), *(pa.array((x - begin).astype(np.int32)) for x in (found, lo, hi)), pa.array(context, pa.binary()), *(pa.array(x, pa.int64()) for x in (left, right, left_all, right_all))],
+                    names=["h1", "h2", "at", "lo", "hi", "context", "left", "right", "left_all", "right_all"],
                 )
 
     return rows
@@ -144,7 +147,7 @@ def _repeated_spans(length: int):
         item = np.repeat(np.arange(len(sizes)), sizes + 1)
         words = _words(text)
         hashes = block_hashes(words, length)
-        order = suffix_order(text, length, words, hashes.get(64))
+        order = suffix_order(text, length, words, hashes.get(64), (start, start + sizes - length + 1))  # windows alone
         again = repeats(order, hashes, len(text), length)
         s0 = table.column("s0").to_numpy().astype(np.int64)
         n = table.column("n").to_numpy()
@@ -189,9 +192,9 @@ def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = LENGTH)
     if length % 8 or length < 2 * GRAM:
         raise ValueError("length: a multiple of 8, 64 at least")
     texts = keyed(docs).where(F.octet_length("text") >= length)
-    anchors = scratch.table(texts.select("h1", "h2", "text").mapInArrow(_anchor_rows(length), "h1 long, h2 int, at int, lo int, hi int, context binary, left long, right long"))
+    anchors = scratch.table(texts.select("h1", "h2", "text").mapInArrow(_anchor_rows(length), "h1 long, h2 int, at int, lo int, hi int, context binary, left long, right long, left_all long, right_all long"))
     # one row for each distinct context, from any of its places
-    contexts = scratch.table(anchors.groupBy("context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h1", "h2", "at", "lo", "hi", "left", "right"))))
+    contexts = scratch.table(anchors.groupBy("context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h1", "h2", "at", "lo", "hi", "left", "right", "left_all", "right_all"))))
     copied = anchors.join(contexts.where("n > 1").select("context"), "context", "left_semi").select("h1", "h2", "lo", "hi")
     # overlapping contexts of a row are one interval each time a new one begins
     found = [copied]
@@ -202,13 +205,19 @@ def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = LENGTH)
         "n",
         F.explode(
             F.array(
-                F.struct(F.col("left").alias("core"), F.col("lo").alias("s0"), F.least(F.col("at") - half, F.col("hi") - length).alias("s1"), (F.col("at") - (length - GRAM)).alias("f0"), (F.col("at") - half).alias("f1")),
-                F.struct(F.col("right").alias("core"), F.greatest(F.col("lo"), F.col("at") - half + 1).alias("s0"), F.least(F.col("at"), F.col("hi") - length).alias("s1"), (F.col("at") - half + 1).alias("f0"), F.col("at").alias("f1")),
+                F.struct(F.col("left").alias("core"), F.col("left_all").alias("whole"), F.col("lo").alias("s0"), F.least(F.col("at") - half, F.col("hi") - length).alias("s1"), (F.col("at") - (length - GRAM)).alias("f0"), (F.col("at") - half).alias("f1")),
+                F.struct(F.col("right").alias("core"), F.col("right_all").alias("whole"), F.greatest(F.col("lo"), F.col("at") - half + 1).alias("s0"), F.least(F.col("at"), F.col("hi") - length).alias("s1"), (F.col("at") - half + 1).alias("f0"), F.col("at").alias("f1")),
             )
         ).alias("x"),
     ).select("h1", "h2", "n", "x.*")
     cores = contexts.select(F.explode(F.array("left", "right")).alias("core")).where("core is not null").groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = scratch.table(sides.where("core is not null").join(cores, "core"))
+    shared = scratch.table(sides.where("core is not null").join(cores.select("core"), "core"))
+    # halves that are equal as a whole are repeated as a whole; one of them stays to be compared with others of its core
+    spots = scratch.table(shared.groupBy("core", "whole").agg(F.count("*").alias("k"), F.max("n").alias("top"), *(F.first(c).alias(c) for c in ("h1", "h2", "s0", "s1", "f0", "f1"))))
+    equal = spots.where("k > 1").select("core", "whole")
+    found.append(shared.where("n = 1").join(equal, ["core", "whole"], "left_semi").select("h1", "h2", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi")))
+    several = spots.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
+    wanted = scratch.table(spots.withColumn("n", F.greatest("k", "top")).drop("k", "top").join(several, "core"))
     by_row = wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("core", "s0", "s1", "n", "m", "f0", "f1")).alias("wanted"))  # bounded by the row's text
     spans = scratch.table(texts.select("h1", "h2", "text").join(by_row, ["h1", "h2"]).mapInArrow(_cut_spans(length), "h1 long, h2 int, core long, s0 int, s1 int, n long, m long, f0 int, f1 int, span binary"))
     counted = spans.groupBy((F.col("m") > GROUP).alias("hot")).count().collect()
