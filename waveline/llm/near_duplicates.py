@@ -181,7 +181,7 @@ def _edges_of(members: DataFrame, rows: int, threshold: float) -> DataFrame:
 def _split(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int, int]:
     """Members of buckets that a task can take, those of larger ones, and their numbers."""
     sizes = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    held = scratch.table(members.join(sizes, "key"))
+    held = scratch.table(members.join(sizes.hint("merge"), "key"))
     counts = {r["large"]: r["count"] for r in held.groupBy((F.col("k") > BUCKET).alias("large")).count().collect()}
     return held.where(F.col("k") <= BUCKET).drop("k"), held.where(F.col("k") > BUCKET), counts.get(False, 0), counts.get(True, 0)
 
@@ -190,8 +190,8 @@ def candidate_edges(texts: DataFrame, scratch: Scratch, threshold: float) -> Dat
     """a, b: edges that connect whatever survives pruning; ``texts`` has c1, n, sig, bands of distinct texts."""
     keys = texts.select("c1", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    own = keys.join(shared, "key").groupBy("c1").agg(F.collect_list("key").alias("keys"))  # at most BANDS
-    members = texts.select("c1", "n", "sig").join(own, "c1").select(F.explode("keys").alias("key"), "c1", "n", "sig")
+    own = keys.join(shared.hint("merge"), "key").groupBy("c1").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+    members = texts.select("c1", "n", "sig").join(own.hint("merge"), "c1").select(F.explode("keys").alias("key"), "c1", "n", "sig")
     small, large, n_small, n_large = _split(members, scratch)
     out = _edges_of(small, n_small, threshold)
     if n_large:
@@ -278,8 +278,8 @@ def join(docs: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
         placed = clusters.join(sizes, "label").select(F.col("id").alias("c1"), F.col("label").alias("cluster"), "k")
         blocks = F.ceil(F.col("k") / CLUSTER).cast("long")
         placed = placed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("c1"), blocks)})
-        placed = scratch.table(placed.join(texts.select("c1", "h1", "h2", "copies"), "c1"))
-        found = placed.join(keyed(docs).select("h1", "h2", "text"), ["h1", "h2"]).dropDuplicates(["c1"])
+        placed = scratch.table(placed.join(texts.select("c1", "h1", "h2", "copies").hint("merge"), "c1"))
+        found = placed.join(keyed(docs).select("h1", "h2", "text").hint("merge"), ["h1", "h2"]).dropDuplicates(["c1"])
         other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
         found = found.withColumn("other", F.explode(other)).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
         total = placed.agg(F.sum("blocks").alias("rows"), F.max("blocks").alias("most")).first()
@@ -291,7 +291,7 @@ def join(docs: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
             links = checked.groupBy("c1").agg(F.sum("links").alias("links"))
             checked = links.join(labels.select(F.col("id").alias("c1"), "label"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
         known = counts.select("c1", "c2", "copies").join(checked, "c1", "left").select("c1", "c2", "copies", F.coalesce("label", "c1").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-        rows = signed.select("doc_id", "c1", "c2").join(known, ["c1", "c2"], "left")
+        rows = signed.select("doc_id", "c1", "c2").join(known.hint("merge"), ["c1", "c2"], "left")
         rows = scratch.table(rows.select("doc_id", "label", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies")))
         names = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
         return scratch.keep(rows.join(names, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", "n_copies"))
