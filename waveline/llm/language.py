@@ -113,8 +113,11 @@ def fit(texts: pa.Array, langs: list[str], idf: np.ndarray, alpha: float = 1.0,
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), idf)
-    row, feature, n, _ = counts(texts)
-    x = _tfidf(row, n, idf[feature], len(langs))
+    parts = []
+    for a in range(0, len(langs), 200):  # a part of the texts at a time, for the driver's memory
+        row, feature, n, has = counts(texts.slice(a, 200))
+        parts.append(((row + a).astype(np.int32), feature.astype(np.int32), _tfidf(row, n, idf[feature], len(has))))
+    row, feature, x = (np.concatenate(p) for p in zip(*parts, strict=True))
     starts = np.searchsorted(row, np.arange(len(langs) + 1))
     y = np.array([names.index(v) for v in langs])
     kept = np.arange(len(langs)) % CALIBRATE == 0
