@@ -38,7 +38,7 @@ from .suffix_array import _words, block_hashes, repeats, suffix_order
 
 LENGTH = 400
 GRAM = 32
-GROUP = 512
+GROUP = 4096  # spans of at most 1.5 lengths each: about 2.5 MB for 400 bytes
 BUCKET_BYTES = 1 << 20
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
