@@ -134,3 +134,18 @@ def test_containment():
 def test_pruning_keeps_what_is_likely():
     needed = near_duplicates.needed_matches(0.8)
     assert list(needed) == sorted(needed) and needed[-1] < 0.8 * near_duplicates.BANDS * near_duplicates.ROWS
+
+
+def test_html_region_follows_the_text():
+    body = "".join(f"<p>{'Many words of running text in a paragraph. ' * 6}{i}</p>" for i in range(5))
+    whole = " ".join(f"{'Many words of running text in a paragraph. ' * 6}{i}" for i in range(5))
+    card = '<article class="card"><h3>Teaser</h3><p>Read on</p></article>'
+    links = "<ul>" + "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(30)) + "</ul>"
+    for page in (f"<body><main>{body}{card}</main></body>", f"<body><div>{body}</div><div>{links}</div>{card}</body>", f"<body><div>{links}</div><div><div>{body}</div>{card}</div></body>"):
+        text = html_text.main_text(page)
+        assert whole in text and "link" not in text
+    # all articles that hold content, and neither links nor cards without any
+    halves = body[: len(body) * 3 // 5], body[len(body) * 3 // 5 :]
+    text = html_text.main_text(f"<body><div>{links}</div><article>{body}</article><article>{body}</article>{links}</body>")
+    assert text.count("paragraph.") == 60 and "link" not in text
+    assert html_text.main_text(f"<body><div>{links}</div><section>{halves[0]}</section><section>{halves[1]}</section></body>").count("paragraph.") == 30

@@ -2,9 +2,11 @@
 
 The standard library's parser feeds blocks ("lines"); each has its text and the
 tags seen with it. The text-to-tag ratios are smoothed with a Gaussian and split
-by a threshold (two-means clustering); the container that holds most text of the
-content cluster is the page's content region, and all blocks of that region are
-kept, short ones too, except those in boilerplate elements.
+by a threshold (two-means clustering). The content region is chosen by the text of
+the content cluster over the tree of containers: the container with the most of it,
+less ``OUTSIDE`` of the text that isn't in the cluster. Articles, and next main, are a
+prior only: they are the region if they hold ``PRIOR`` of the cluster's text. All
+blocks of the region are kept, short ones too, except those in boilerplate elements.
 
 Defined results: null or empty html, and pages without content, give the empty
 string; markup may be broken (unclosed or stray tags); repeated rows are separate
@@ -14,7 +16,6 @@ rows; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,19 +35,26 @@ MARKS = re.compile(
     re.I,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Containers by rank; a header inside an article is content.
+RANKS = {"article": 3, "main": 2, "section": 1, "div": 1, "td": 1, "body": 1}
 SIGMA = 1.0
+#: Share of the content cluster's text that articles (or main) hold to be the region.
+PRIOR = 2 / 3
+#: Weight of text outside the cluster against a container.
+OUTSIDE = 0.25
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class _Blocks(HTMLParser):
-    """Collects (text, tags, container, depth in boilerplate) for each block."""
+    """Collects (text, tags, container) for each block, and the tree of containers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, container, its rank
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.containers = 0
+        self.tags = 0
+        self.containers: list[tuple[int, int]] = [(0, 0)]  # parent (an earlier one), rank; the first is the page
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't needed
@@ -55,8 +63,7 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            _, _, container, rank = self.stack[-1] if self.stack else ("", False, 0, 0)
-            self.lines.append((text, self.tags, container, rank))
+            self.lines.append((text, self.tags, self.stack[-1][2] if self.stack else 0))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -76,10 +83,10 @@ class _Blocks(HTMLParser):
                 skip = any(v is not None and (k in ("class", "id", "role", "aria-label") and bool(MARKS.search(v)) or k == "style" and bool(HIDDEN.search(v)) or k == "aria-hidden" and v == "true") or k == "hidden" for k, v in attrs)
             if not skip and tag == "article" and any(k in ("class", "id") and v and MARKS.search(v) for k, v in attrs):
                 skip = True
-        own = {"article": 3, "main": 2, "section": 1, "div": 1, "td": 1, "body": 1}.get(tag, 0)
-        if own > rank or own == rank == 1:
-            self.containers += 1
-            container, rank = self.containers, own
+        own = RANKS.get(tag, 0)
+        if own:
+            self.containers.append((container, own))
+            container, rank = len(self.containers) - 1, max(rank, own)
         self.stack.append((tag, skip, container, rank))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -123,8 +130,37 @@ def _content_lines(ratios: np.ndarray) -> np.ndarray:
     return smooth >= (low + high) / 2
 
 
+def _region(lines: list[tuple[str, int, int]], core: np.ndarray, containers: list[tuple[int, int]]) -> set[int]:
+    """The containers of the content region."""
+    mass, score = [0] * len(containers), [0.0] * len(containers)
+    for (text, _, container), inside in zip(lines, core, strict=True):
+        mass[container] += len(text) if inside else 0
+        score[container] += len(text) if inside else -OUTSIDE * len(text)
+    for k in range(len(containers) - 1, 0, -1):  # parents come before their children
+        mass[containers[k][0]] += mass[k]
+        score[containers[k][0]] += score[k]
+    roots: set[int] = set()
+    for rank in (3, 2):
+        inner = [False] * len(containers)
+        outermost = []
+        for k in range(1, len(containers)):
+            parent, own = containers[k]
+            inner[k] = inner[parent] or own == rank
+            if own == rank and not inner[parent] and mass[k]:
+                outermost.append(k)
+        if outermost and sum(mass[k] for k in outermost) >= PRIOR * mass[0]:
+            roots = set(outermost)
+            break
+    if not roots:
+        roots = {max(range(len(containers)), key=lambda k: score[k])}  # of equal ones the outermost
+    for k in range(1, len(containers)):
+        if containers[k][0] in roots:
+            roots.add(k)
+    return roots
+
+
 def main_text(html: str | None) -> str:
-    """The page's article as blocks joined by one space."""
+    """The text of the page's content region as blocks joined by one space."""
     if not html:
         return ""
     parser = _Blocks()
@@ -134,18 +170,9 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines])
-    core = _content_lines(ratios)
-    mass: dict[tuple[int, int], float] = defaultdict(float)
-    for (text, _, container, rank), inside in zip(lines, core, strict=True):
-        mass[rank if rank > 1 else 0, container] += len(text) if inside else 0.01 * len(text)
-    rank = max(mass)[0]
-    if rank:  # all articles (or all of main) that hold content
-        best = {c for (r, c), m in mass.items() if r == rank}
-    else:
-        best = {max(mass, key=lambda k: mass[k])[1]}
-        best |= {c for (_, c), m in mass.items() if m >= 0.5 * max(mass.values())}
-    return " ".join(text for text, _, container, _ in lines if container in best)
+    core = _content_lines(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
+    region = _region(lines, core, parser.containers)
+    return " ".join(text for text, _, container in lines if container in region)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
