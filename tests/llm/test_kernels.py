@@ -149,3 +149,21 @@ def test_html_region_follows_the_text():
     text = html_text.main_text(f"<body><div>{links}</div><article>{body}</article><article>{body}</article>{links}</body>")
     assert text.count("paragraph.") == 60 and "link" not in text
     assert html_text.main_text(f"<body><div>{links}</div><section>{halves[0]}</section><section>{halves[1]}</section></body>").count("paragraph.") == 30
+
+
+def test_containment_of_short_items():
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(3000))
+    items = [" ".join(word() for _ in range(1 + i % 36)) for i in range(720)]
+    docs = []
+    for item in items:
+        words, held = [word() for _ in range(1500)], item.split()
+        if len(held) > 16 and rng.random() < 0.5:
+            held[rng.choice([0, -1])] = word()
+        cut = rng.randint(0, len(words))
+        docs.append(" ".join(words[:cut] + held + words[cut:]))
+    index = decontaminate.Index(list(range(len(items))), items)
+    got = {(r, index.ids[k]) for r, k, _, _ in index.matches(pa.array(docs), 0.8)}
+    sets, have = [shingles(i) for i in items], [shingles(d) for d in docs]
+    assert got == {(r, k) for r, d in enumerate(have) for k, s in enumerate(sets) if len(s & d) >= 0.8 * len(s)}
+    assert {k for _, k in got} >= {k for k, i in enumerate(items) if 5 <= len(i.split()) <= 16}

@@ -1,12 +1,18 @@
 """Test items inside documents: size-partitioned MinHash containment search.
 
-Items fall into classes by their number of distinct word shingles (powers of two).
-For a class of up to ``u`` shingles a document is read as overlapping windows of
-``2u`` shingles, so a short item meets a set of its own order of size however long
-the document is. An item and a window that agree in any of ``HASHES`` MinHash
-values are candidates; the share of the item's distinct shingles that occur in the
-whole document decides exactly. An item of which four fifths lie in one window is
-missed with a probability below 1e-6.
+Items of more than ``SMALLEST`` distinct word shingles fall into classes by their
+number (powers of two). For a class of up to ``u`` shingles a document is read as
+overlapping windows of ``2u`` shingles, so an item meets a set of its own order of
+size however long the document is. An item and a window that agree in any of
+``HASHES`` MinHash values are candidates; an item of which four fifths lie in one
+window is missed with a probability below 2e-6.
+
+Smaller items are looked up exactly: a document that holds the threshold's share of
+an item holds one at least of any ``s - ceil(threshold * s) + 1`` of its ``s``
+shingles, and those that fewest items have are the keys to it. None is missed.
+
+The share of the item's distinct shingles that occur in the whole document decides
+exactly about all candidates.
 
 Items are taken in blocks of bounded size, each searched against all documents.
 
@@ -55,9 +61,9 @@ def row_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """A block of items: their shingles, and MinHash values by size class."""
+    """A block of items: their shingles, keys to the small ones, and MinHash values by size class."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], threshold: float = NEAR_SIMILARITY):
         flat, at = row_shingles(pa.array(texts, pa.string()))
         self.ids, self.sets = [], []
         for i, a, b in zip(ids, at[:-1], at[1:], strict=True):
@@ -67,17 +73,38 @@ class Index:
         self.seen = np.zeros(1 << _BITS, bool)
         multipliers = _multipliers()
         by_class: dict[int, list[int]] = defaultdict(list)
+        small: list[int] = []
         for k, s in enumerate(self.sets):
             self.seen[s >> np.uint64(64 - _BITS)] = True
-            by_class[max(SMALLEST, 1 << (len(s) - 1).bit_length())].append(k)
+            if len(s) <= SMALLEST:
+                small.append(k)
+            else:
+                by_class[1 << (len(s) - 1).bit_length()].append(k)
+        self.threshold = threshold
+        self._key(small)
         self.classes = {}
         for u, members in by_class.items():
             least = np.array([[(self.sets[k] * m).min() for m in multipliers] for k in members]).T
             order = np.argsort(least, axis=1)
             self.classes[u] = (np.take_along_axis(least, order, 1), np.array(members)[order])
 
+    def _key(self, small: list[int]) -> None:
+        """Shingles of which a document that holds a small item has one at least, in order, and their items."""
+        every, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *(self.sets[k] for k in small)]), return_counts=True)
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k in small:
+            s = self.sets[k]
+            needed = max(1, int(np.ceil(self.threshold * len(s) - 1e-9)))
+            rare = np.argsort(count[np.searchsorted(every, s)], kind="stable")[: len(s) - needed + 1]
+            keys.append(s[rare])
+            owners.append(np.full(len(rare), k))
+        flat, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.owners = flat[order], owner[order]
+
     def matches(self, texts: pa.Array, threshold: float) -> list[tuple[int, int, float, int]]:
-        """(row, item position, containment, size of the item's set)."""
+        """(row, item position, containment, size of the item's set), for the index's threshold or a higher one."""
+        assert threshold >= self.threshold
         flat, at = row_shingles(texts)
         if not len(flat) or not self.sets:
             return []
@@ -90,6 +117,12 @@ class Index:
         ends = np.cumsum(sizes)
         own = flat[np.repeat(at[rows] - (ends - sizes), sizes) + np.arange(ends[-1])]
         pairs: set[tuple[int, int]] = set()
+        if len(self.keys):
+            left, right = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
+            hit = np.flatnonzero(right > left)
+            doc = np.searchsorted(ends, hit, "right")
+            for d, a, b in np.unique(np.stack([doc, left[hit], right[hit]], axis=1), axis=0).tolist():
+                pairs.update((d, k) for k in self.owners[a:b].tolist())
         for u, (least, members) in self.classes.items():
             blocks = -(-sizes // u)
             cuts = np.repeat(ends - sizes, blocks) + u * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
@@ -116,7 +149,7 @@ class Index:
         return out
 
 
-def _blocks(items: DataFrame) -> Iterator[Index]:
+def _blocks(items: DataFrame, threshold: float) -> Iterator[Index]:
     """Blocks of items of a bounded number of rows and bytes."""
     rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
@@ -124,7 +157,7 @@ def _blocks(items: DataFrame) -> Iterator[Index]:
     spread = F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n))
     for k in range(n):
         held = rows.where(spread == k).orderBy("item_id", "text").toArrow()
-        yield Index(held.column("item_id").to_pylist(), held.column("text").to_pylist())
+        yield Index(held.column("item_id").to_pylist(), held.column("text").to_pylist(), threshold)
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
@@ -132,7 +165,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY
     prepare(docs.sparkSession)
     kind = items.schema["item_id"].dataType.simpleString()
     found = None
-    for index in _blocks(items):
+    for index in _blocks(items, threshold):
         held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the block
 
         def rows(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -151,7 +184,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY
 def clean(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
     """The documents that hold no item, all columns."""
     prepare(docs.sparkSession)
-    for index in _blocks(items):
+    for index in _blocks(items, threshold):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def rows(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
