@@ -153,3 +153,21 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
         assert out.count() <= before
     assert corpus_pipeline.run(spark, DIR).where("piece = 0").count() == out.count()
+
+
+@pytest.mark.parametrize("block", [2000, 30])
+def test_dense_buckets_lose_no_pair(spark, monkeypatch, block):
+    from waveline.llm.common import Scratch, mix
+
+    monkeypatch.setattr(near_duplicates, "BUCKET", 16)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block, raising=False)
+    key, width = 77, near_duplicates.BANDS * near_duplicates.ROWS
+    with np.errstate(over="ignore"):
+        h = mix(np.uint64(key) + np.arange(1, near_duplicates.SUB_BANDS + 1, dtype=np.uint64))
+        shared = (mix(h[:, None] + np.arange(near_duplicates.SUB_ROWS, dtype=np.uint64)) % np.uint64(width)).astype(int)
+    sigs = np.repeat(np.random.default_rng(8).integers(1 << 16, size=(100, width), dtype=np.uint16), 2, axis=0)
+    sigs[:, shared.ravel()] = 7  # every text in every sub-bucket, alike in pairs only
+    texts = spark.createDataFrame([(i, 100, bytearray(x.tobytes()), [key]) for i, x in enumerate(sigs)], "c1 long, n long, sig binary, bands array<long>")
+    with Scratch(spark) as scratch:
+        edges = {(r.a, r.b) for r in near_duplicates.candidate_edges(texts, scratch, 0.8).collect()}
+    assert edges == {(i, i + 1) for i in range(0, 200, 2)}

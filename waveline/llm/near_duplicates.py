@@ -7,9 +7,10 @@ Two texts are linked if the Jaccard similarity of their sets of five-word shingl
    rows of a band share a bucket (a linked pair shares none with a chance below 1e-6).
 2. The pairs of a bucket are compared ``STEP`` MinHash values at a time and dropped as
    soon as the posterior probability of reaching the threshold, from a uniform prior,
-   falls below ``TOLERANCE``. A bucket of more than ``BUCKET`` texts is dealt out by
-   further MinHash values first (twelve sub-bands of four), and beyond that in parts
-   that all hold its first texts.
+   falls below ``TOLERANCE``; pairs that are connected already aren't compared. A
+   bucket of more than ``BUCKET`` texts is dealt out by further MinHash values first
+   (twelve sub-bands of four). All pairs of what is still as large are compared too,
+   beyond twice ``BLOCK`` texts in pairs of blocks.
 3. The components of the surviving pairs are verified: all pairs in a component by
    exact set intersections. Components of more than ``CLUSTER`` texts are verified in
    pairs of blocks, so no task holds one of unbounded size.
@@ -42,7 +43,8 @@ BANDS, ROWS = 36, 5
 STEP = 30
 TOLERANCE = 1e-5
 BUCKET = 512
-SUB_BANDS, SUB_ROWS, ANCHORS = 12, 4, 32
+SUB_BANDS, SUB_ROWS = 12, 4
+BLOCK = 2000
 CLUSTER = 1000
 BIN_ROWS = 4000
 SIGNED = "h1 long, h2 int, doc_id long, c1 long, c2 long, n long, sig binary, bands array<long>"
@@ -128,21 +130,19 @@ def _bucket_edges(threshold: float):
         table = table.take(pa.array(order))
         key, ids, n = (table.column(c).to_numpy() for c in ("key", "c1", "n"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(key), BANDS * ROWS)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        names, node = np.unique(ids, return_inverse=True)
+        label = np.arange(len(names))
         first, d = np.arange(len(key)), 1
         while len(first):  # members d places apart in one bucket
             first = first[first + d < len(key)]
             first = first[key[first] == key[first + d]]
             for at in range(0, len(first), 100_000):
                 a = first[at : at + 100_000]
+                a = a[label[node[a]] != label[node[a + d]]]  # what is connected needs no further edge
                 a, b = surviving_pairs(sig, n, a, a + d, threshold)
-                left.append(a)
-                right.append(b)
+                if len(a):
+                    label = _least_labels(len(names), label[node[a]], label[node[b]])[label]
             d += 1
-        _, node = np.unique(ids, return_inverse=True)
-        a, b = node[np.concatenate(left)], node[np.concatenate(right)]
-        names = np.unique(ids)
-        label = _least_labels(len(names), a, b)
         inner = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": names[label[inner]], "b": names[inner]})
 
@@ -198,13 +198,12 @@ def candidate_edges(texts: DataFrame, scratch: Scratch, threshold: float) -> Dat
         small, large, n_small, n_large = _split(large.select("key", "c1", "n", "sig").mapInArrow(_sub_keys, MEMBER).dropDuplicates(["key", "c1"]), scratch)
         out = out.unionAll(_edges_of(small, n_small, threshold))
     if n_large:
-        # parts of a dense bucket: each holds the texts that come first in a hashed order
-        mark = F.pmod(F.xxhash64("c1", "key"), F.col("k"))
-        parts = F.greatest(F.lit(1), (F.col("k") / (BUCKET // 2)).cast("long"))
-        dealt = large.withColumns({"parts": parts, "mark": mark})
-        dealt = dealt.withColumn("part", F.when(F.col("mark") < ANCHORS, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("c1"), F.col("parts")))))
-        dealt = dealt.select(F.explode("part").alias("part"), "key", "c1", "n", "sig").withColumn("key", F.xxhash64("key", "part")).drop("part")
-        out = out.unionAll(_edges_of(dealt, n_large, threshold))
+        # all pairs of a dense bucket: whole, or each pair of its blocks in a group of its own
+        blocks = F.when(F.col("k") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("k") / BLOCK)).cast("long")
+        rows = large.agg(F.sum(F.greatest(blocks - 1, F.lit(1)))).first()[0]
+        dealt = large.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("c1"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}).where("blocks = 1 or block <> other")
+        dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "c1", "n", "sig")
+        out = out.unionAll(_edges_of(dealt, rows, threshold))
     return out
 
 
