@@ -167,3 +167,12 @@ def test_containment_of_short_items():
     sets, have = [shingles(i) for i in items], [shingles(d) for d in docs]
     assert got == {(r, k) for r, d in enumerate(have) for k, s in enumerate(sets) if len(s & d) >= 0.8 * len(s)}
     assert {k for _, k in got} >= {k for k, i in enumerate(items) if 5 <= len(i.split()) <= 16}
+
+
+def test_symbols_are_no_letters():
+    from waveline.llm import language
+
+    texts = pa.array(["\U0001f389\U0001f389 123", "\U0001d7d8\U0001d7d9", "\U00010428 a", "\U00020000", None])
+    assert language.counts(texts)[3].tolist() == [False, False, True, True, False]
+    model = language.Model(["en"], np.zeros((1 << language.BITS, 1)), np.zeros(1), np.ones(1 << language.BITS))
+    assert model.predict(texts)[0] == ["und", "und", "en", "en", "und"]

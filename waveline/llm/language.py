@@ -33,7 +33,7 @@ UNKNOWN = "und"
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000 >> 4)])  # the planes in use below 0x11000
+    return np.array([chr(c).isalpha() for c in range(0x110000)])  # every code point
 
 
 LETTER = _letters()
@@ -48,7 +48,7 @@ def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     lengths = pc.utf8_length(lower).to_numpy(zero_copy_only=False).astype(np.int64)
     kind = np.int32 if len(lengths) < 1 << (31 - BITS) else np.int64
     row = np.repeat(np.arange(len(lengths), dtype=kind) << BITS, lengths)
-    letter = LETTER[np.minimum(codes, len(LETTER) - 1)] | (codes >= len(LETTER))
+    letter = LETTER[codes]
     has = np.zeros(len(lengths), bool)
     has[row[letter] >> BITS] = True
     codes = np.where(letter, codes, 32).astype(np.uint64)
