@@ -176,3 +176,12 @@ def test_symbols_are_no_letters():
     assert language.counts(texts)[3].tolist() == [False, False, True, True, False]
     model = language.Model(["en"], np.zeros((1 << language.BITS, 1)), np.zeros(1), np.ones(1 << language.BITS))
     assert model.predict(texts)[0] == ["und", "und", "en", "en", "und"]
+
+
+@pytest.mark.parametrize("inserted", [0, 9, 20])
+def test_license_with_insertion(inserted):
+    scanner = license_scan.Scanner()
+    text = license_scan.TEMPLATES["MIT grant"].replace("any person", "any person " + " ".join(f"x{i}" for i in range(inserted)))
+    words = license_scan.hashes([f"some words before. {text} And after."])[0]
+    cues = [i for i, w in enumerate(words) if int(w) in scanner.places]
+    assert ("MIT grant", 1.0, 3, 23 + inserted) in [(name, share, a, b) for a, b, name, share in scanner.spans(words, cues, 0.8)]

@@ -4,7 +4,10 @@ Around each cue word ("license", "copyright", ...) that a template has too, the
 of the document are aligned with the template's: equal ends are matched, words unique
 to both sides and in increasing order on both (a longest increasing subsequence) are
 anchors, and the gaps between anchors are aligned in the same way. The share of the
-template's words that are matched is its coverage.
+template's words that are matched is its coverage. The words aligned reach further out
+while that matches more of an end that is missing, each time by twice the words the
+template has: foreign words in one place may be as many as the template has, and a
+notice ends where they are twice as many.
 
 Of overlapping spans the one with most matched words stays, ties going to the higher
 coverage and then to the first name. Defined results: a notice needs a cue word; null
@@ -123,13 +126,22 @@ class Scanner:
         for p in cues:
             for name, j in self.places[int(words[p])]:
                 template = self.words[name]
-                lo, hi = max(0, p - j - SLACK), p - j + len(template) + SLACK
-                if (name, lo) in seen:
+                if (name, p - j) in seen:
                     continue
-                seen.add((name, lo))
-                pairs = patience(words[lo:hi].tolist(), template)
+                seen.add((name, p - j))
+                lo, hi = max(0, p - j - SLACK), p - j + len(template) + SLACK
+                pairs: list[tuple[int, int]] = []
+                while True:
+                    longer = [(lo + i, k) for i, k in patience(words[lo:hi].tolist(), template)]
+                    if len(longer) <= len(pairs):
+                        break
+                    pairs = longer
+                    if pairs[0][1] > 0:
+                        lo = max(0, min(lo, pairs[0][0] - 2 * len(template)))
+                    if pairs[-1][1] < len(template) - 1:
+                        hi = max(hi, pairs[-1][0] + 1 + 2 * len(template))
                 if pairs and len(pairs) >= coverage * len(template):
-                    found.append((-len(pairs), -len(pairs) / len(template), name, lo + pairs[0][0], lo + pairs[-1][0] + 1))
+                    found.append((-len(pairs), -len(pairs) / len(template), name, pairs[0][0], pairs[-1][0] + 1))
         out: list[tuple[int, int, str, float]] = []
         taken = np.zeros(len(words) + 1, bool)
         for _, share, name, a, b in sorted(found):
