@@ -185,3 +185,19 @@ def test_license_with_insertion(inserted):
     words = license_scan.hashes([f"some words before. {text} And after."])[0]
     cues = [i for i, w in enumerate(words) if int(w) in scanner.places]
     assert ("MIT grant", 1.0, 3, 23 + inserted) in [(name, share, a, b) for a, b, name, share in scanner.spans(words, cues, 0.8)]
+
+
+def test_licenses_without_a_cue_list():
+    scanner = license_scan.Scanner()
+
+    def found(text):
+        words = license_scan.hashes([text])[0]
+        return [s[2] for s in scanner.spans(words, [i for i, w in enumerate(words) if int(w) in scanner.places], 0.8)]
+
+    assert found("Available under CC BY-SA 4.0.") == ["CC-BY-SA-4.0"]
+    assert found("Released under the MIT Licence.") == ["MIT"] and found("Issued under the MIT License.") == ["MIT"]
+    assert found("# SPDX-License-Identifier: EUPL-1.2") == ["SPDX line"] and found("Copyright (c) 2020 Someone") == ["Copyright line"]
+    for text in license_scan.TEMPLATES.values():  # whatever words are damaged, one cue is left
+        words = license_scan.hashes([text])[0].tolist()
+        kept = sorted(words, key=lambda w: w in scanner.places)[: -(-4 * len(words) // 5)]
+        assert any(w in scanner.places for w in kept), text

@@ -1,7 +1,8 @@
 """License notices in documents by patience alignment against templates.
 
-Around each cue word ("license", "copyright", ...) that a template has too, the words
-of the document are aligned with the template's: equal ends are matched, words unique
+A template of which all but ``t`` words must be matched has its ``t + 1`` rarest words
+as cues, so whatever reaches the coverage has one of them. Around each cue word the
+words of the document are aligned with the template's: equal ends are matched, words unique
 to both sides and in increasing order on both (a longest increasing subsequence) are
 anchors, and the gaps between anchors are aligned in the same way. The share of the
 template's words that are matched is its coverage. The words aligned reach further out
@@ -10,13 +11,15 @@ template has: foreign words in one place may be as many as the template has, and
 notice ends where they are twice as many.
 
 Of overlapping spans the one with most matched words stays, ties going to the higher
-coverage and then to the first name. Defined results: a notice needs a cue word; null
-and empty texts have none; repeated rows give rows of their own; an empty table gives
+coverage and then to the first name. Defined results: null and empty texts have no
+notice; repeated rows give rows of their own; an empty table gives
 no rows; positions count the words of the whole text.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -44,6 +47,7 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "Copyright line": "Copyright (c)",
     "CC0-1.0": "Licensed under CC0 1.0 Universal.",
     "Creative Commons": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
@@ -55,10 +59,12 @@ TEMPLATES = {
     "MIT grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Rights reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "SPDX line": "SPDX-License-Identifier",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Words of which a notice has one at least.
-CUES = "cc0 copyright licence license licensed permission permitted redistribution reserved unencumbered".split()
+#: Words of templates that are common in any text and are cues last.
+COMMON = frozenset("a all and any are as at by c following for free in into is it may no not of or part person published purpose source terms that the this to under use v version with without work you".split())
+WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
 
 def hashes(texts: list[str]) -> list[np.ndarray]:
@@ -109,14 +115,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] | None = None, cues: list[str] = CUES):
+    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
         templates = TEMPLATES if templates is None else templates
         self.words = dict(zip(templates, (h.tolist() for h in hashes(list(templates.values()))), strict=True))
-        cue = {int(h[0]) for h in hashes(cues) if len(h)}
         self.places: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
+            told = WORD.findall(templates[name].lower())
+            # long words stand for rare ones
+            rare = sorted(range(len(words)), key=lambda j: (told[j] in COMMON, -len(told[j])))
+            cues = {words[j] for j in rare[: len(words) - max(1, math.ceil(coverage * len(words) - 1e-9)) + 1]}
             for j, w in enumerate(words):
-                if w in cue:
+                if w in cues:
                     self.places[w].append((name, j))
         self.cues = np.array(sorted(self.places), np.uint64)
 
@@ -154,7 +163,7 @@ class Scanner:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, first_word, end_word for every notice."""
     prepare(docs.sparkSession)
-    scanner = Scanner(templates)
+    scanner = Scanner(templates, coverage)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
