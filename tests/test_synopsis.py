@@ -106,6 +106,46 @@ def test_binary_log(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(7, -2, 3, 2**31 - 1, 1, -56, 3, 4)] * 2
 
 
+def test_logs_by_file(spark, tmp_path):
+    record = lambda i: i.to_bytes(4, "big") * 4 + bytes([1, 2, 3, 255])
+    (tmp_path / "log1").write_bytes(b"".join(record(i) for i in range(3000)))
+    (tmp_path / "log2").write_bytes(record(7) + b"x")
+    (tmp_path / "log3").write_bytes(b"")
+    rows = logs.read(spark, str(tmp_path), with_log=True)
+    assert rows.where("server <> -1 or client_id <> ts").count() == 0
+    logs.write_requests(rows, str(tmp_path / "out"), by="log")
+    back = logs.read_requests(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.log, r.ts) for r in back) == sorted([("log1", i) for i in range(3000)] + [("log2", 7)])
+
+
+def test_hot_keys_are_dealt_out(spark):
+    freq = spark.createDataFrame([(1, generators.RUN * 2 + 5), (2, generators.RUN), (3, 1), (4, 0)], "key long, freq long")
+    assert pairs(exact.frequency(generators.repeat(freq))) == {1: generators.RUN * 2 + 5, 2: generators.RUN, 3: 1}
+
+
+@pytest.mark.parametrize("mode", ["inner", "full"])
+def test_error_by_segments(spark, mode):
+    keys = stream(spark, 9)
+    for k in (1, 5, 200):
+        top = exact.central_topk(keys, 6, k)
+        plain = metrics.sse(exact.frequency(keys), reconstruct.rounded(reconstruct.frequencies(top, 6)), mode)
+        assert plans.error(keys, top, 6, mode).first()[0] == plain.first()[0]
+
+
+def test_normalized_top(spark):
+    coefs = spark.createDataFrame([(1, 1.0), (2, 1.5), (5, 2.0), (8, -2.0)], "idx long, coef double")
+    assert [r["idx"] for r in haar.top(coefs, 3, 3, normalize=True).collect()] == [2, 1, 5]
+
+
+def test_round3_sends_what_is_missing(spark):
+    keys = stream(spark, 11)
+    local = exact.local_coefficients(keys, 6)
+    sent = exact.two_sided(local, 4)
+    rest = exact.unsent(local, exact.cuts(sent, 4))
+    rows = lambda df: {(r["node"], r["idx"]) for r in df.collect()}
+    assert rows(rest) == rows(local.where("coef <> 0")) - rows(sent)
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(5, "b"), (1, "z"), (5, "a"), (1, "z")], "a long, b string")
     assert {(r.a, r.b): r.id for r in ids.dense_ids(df, ["a", "b"]).collect()} == {(1, "z"): 1, (5, "a"): 2, (5, "b"): 3}

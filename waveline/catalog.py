@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waveline import plans
 from waveline.operators import exact, generators, haar, ids, metrics, reconstruct, sampling
-from waveline.sources import logs, tables, text
+from waveline.sources import logs, storage, tables, text
 
 #: Levels of the domains: part keys, supplier keys, event values.
 LP, LS, LE = 15, 10, 6
@@ -153,8 +153,10 @@ def _rounds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sent = exact.two_sided(local, K)
     table = exact.bound_table(sent, exact.node_bounds(nodes, sent, K))
     bound = exact.kth_bound(table, K)
-    more = exact.round2(local, sent, bound, m)
-    return {"sent": sent, "table": table, "bound": bound, "more": more, "candidates": exact.candidates(sent, more, bound, m, K)}
+    rest = exact.unsent(local, exact.cuts(sent, K))
+    more = exact.round2(rest, bound, m)
+    wanted = exact.candidates(sent, more, bound, m, K)
+    return {"sent": sent, "table": table, "bound": bound, "more": more, "candidates": wanted, "last": exact.round3(rest, wanted, bound, m)}
 
 
 @_query(f"{_ROUNDS} SELECT node, idx, coef, band::TINYINT AS band FROM sent")
@@ -179,7 +181,15 @@ def round2_messages(spark, sf_dir):
 
 @_query(f"{_ROUNDS} SELECT idx FROM second WHERE greatest(abs(upper), abs(lower)) >= (SELECT bound FROM bound2)")
 def candidates(spark, sf_dir):
-    return _rounds(spark, sf_dir)["candidates"]
+    return _rounds(spark, sf_dir)["candidates"].select("idx")
+
+
+_WANTED = "wanted AS (SELECT idx FROM second WHERE greatest(abs(upper), abs(lower)) >= (SELECT bound FROM bound2))"
+
+
+@_query(f"{_ROUNDS}, {_WANTED} SELECT node, idx, coef FROM local ANTI JOIN sent USING (node, idx) WHERE abs(coef) * {_M} < (SELECT bound FROM bound) AND coef <> 0 AND idx IN (SELECT idx FROM wanted)")
+def round3_messages(spark, sf_dir):
+    return _rounds(spark, sf_dir)["last"]
 
 
 @_query(f"SELECT * FROM {_top(_haar(_freq(P), LP))}")
@@ -387,3 +397,91 @@ def zipf_stream(spark, sf_dir):
 @_query("SELECT * FROM (VALUES (1::BIGINT, 6.75::DOUBLE), (2, 0.25), (3, 2.5), (4, 5.0), (5, 1.0), (6, -1.0), (8, 2.0)) t(idx, coef)")
 def toy_golden(spark, sf_dir):
     return exact.central_topk(generators.toy(spark), 3, 7)
+
+
+# programs that go through files in the session's shared folder
+
+
+@_query("SELECT DISTINCT sha1('a|' || o_orderstatus || '|' || o_orderpriority) AS node FROM orders")
+def node_ids(spark, sf_dir):
+    return tables.table(spark, sf_dir, "orders").select(text.node_id(F.lit("a"), "o_orderstatus", "o_orderpriority").alias("node")).distinct()
+
+
+@_query(f"SELECT * FROM {_freq(S)}")
+def key_file_roundtrip(spark, sf_dir):
+    path = storage.fresh(spark)
+    keys = tables.suppliers(spark, sf_dir)
+    text.write_keys(keys, f"{path}/a.keys", mode="errorifexists")
+    text.write_keys(keys, f"{path}/a.other")
+    return exact.frequency(text.read_keys(spark, f"{path}/a.keys", LS, glob="*.txt"))
+
+
+@_query(f"SELECT * FROM {_freq(S)}")
+def frequency_file_roundtrip(spark, sf_dir):
+    path = storage.fresh(spark)
+    text.write_pairs(exact.frequency(tables.suppliers(spark, sf_dir)), path, mode="errorifexists")
+    return text.read_frequencies(spark, path)
+
+
+@_query(f"SELECT * FROM {_freq(S)}")
+def csv_roundtrip(spark, sf_dir):
+    path = storage.fresh(spark)
+    text.write_csv(exact.frequency(tables.suppliers(spark, sf_dir)), path)
+    return text.read_csv(spark, path, "key long, freq long")
+
+
+@_query(f"SELECT key, freq FROM {_round(_inverse(_top(_haar(_freq(S), LS)), LS))}")
+def reconstruct_from_file(spark, sf_dir):
+    path = storage.fresh(spark)
+    text.write_pairs(exact.central_topk(tables.suppliers(spark, sf_dir), LS, K), f"{path}/coefficients")
+    plans.reconstruct_file(spark, f"{path}/coefficients", LS, f"{path}/listing")
+    return text.read_csv(spark, f"{path}/listing", "key long, freq long")
+
+
+def _two_files(spark: SparkSession, sf_dir: str) -> str:
+    path = storage.fresh(spark)
+    for name, df in zip("ab", _sse_tables(spark, sf_dir), strict=True):
+        text.write_pairs(df, f"{path}/{name}")
+    return path
+
+
+@_query(f"SELECT sum((a.freq - b.freq) * (a.freq - b.freq))::BIGINT AS sse FROM {_freq(S)} a JOIN {_MADE} b USING (key)")
+def sse_from_files(spark, sf_dir):
+    path = _two_files(spark, sf_dir)
+    return plans.error_of_files(spark, f"{path}/a", f"{path}/b", f"{path}/sse")
+
+
+@_query(f"SELECT sum((a.freq - b.freq) * (a.freq - b.freq))::BIGINT AS sse FROM {_freq(S)} a JOIN {_MADE} b USING (key)")
+def sse_from_folder(spark, sf_dir):
+    return plans.error_of_folder(spark, f"{_two_files(spark, sf_dir)}/*")
+
+
+@_query("SELECT 'log' || (event_id % 3) AS log, user_id::INT AS client_id, event_id::INT AS object_id, floor(epoch(ts))::INT AS ts FROM events")
+def requests_per_log(spark, sf_dir):
+    path = storage.fresh(spark)
+    rows = tables.table(spark, sf_dir, "events").select(F.concat(F.lit("log"), F.col("event_id") % 3).alias("log"), F.col("user_id").alias("client_id"), F.col("event_id").alias("object_id"), F.unix_timestamp("ts").alias("ts"))
+    logs.write_requests(rows, path, by="log")
+    return logs.read_requests(spark, path).select(F.col("log").cast("string").alias("log"), "client_id", "object_id", "ts")
+
+
+@_query("SELECT client_id, object_id, dense_rank() OVER (ORDER BY client_id, object_id) AS id FROM (SELECT DISTINCT user_id::INT AS client_id, (event_id % 50)::INT AS object_id FROM events)")
+def ids_of_requests(spark, sf_dir):
+    path = storage.fresh(spark)
+    rows = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("client_id"), (F.col("event_id") % 50).alias("object_id"), F.unix_timestamp("ts").alias("ts"))
+    logs.write_requests(rows, path)
+    return ids.dense_ids(logs.read_requests(spark, path), ["client_id", "object_id"])
+
+
+@_query("SELECT o_orderstatus, o_orderkey, dense_rank() OVER (ORDER BY o_custkey, o_orderpriority) AS id FROM orders")
+def id_stream_rows(spark, sf_dir):
+    return ids.id_rows(tables.table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus", ["o_orderkey"])
+
+
+_TOTAL = f"(SELECT sum(pow(r::DOUBLE, -1.0::DOUBLE)) FROM range(1, {ZIPF_DOMAIN + 1}) t(r))"
+
+
+@_query(f"SELECT rank, row_number() OVER (ORDER BY md5('42|' || rank), rank) AS key, round(pow(rank::DOUBLE, -1.0::DOUBLE) / {_TOTAL}, 9) AS p FROM range(1, {ZIPF_DOMAIN + 1}) t(rank)")
+def zipf_listing(spark, sf_dir):
+    path = storage.fresh(spark)
+    text.write_ranks(generators.zipf_listing(spark, ZIPF_DOMAIN, ZIPF_N), path)
+    return text.read_csv(spark, path, "rank long, key long, p double").withColumn("p", F.round("p", 9))

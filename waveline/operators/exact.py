@@ -65,28 +65,67 @@ def kth_bound(table: DataFrame, k: int) -> DataFrame:
     return best.agg(F.when(F.count("*") == k, F.min("tau")).otherwise(F.lit(0.0)).alias("bound"))
 
 
-def round2(local: DataFrame, sent: DataFrame, bound: DataFrame, nodes: int) -> DataFrame:
-    """(node, idx, coef) not sent before whose magnitude reaches bound / nodes."""
-    rest = local.join(sent.select("node", "idx"), ["node", "idx"], "left_anti")
+def cuts(sent: DataFrame, k: int) -> DataFrame:
+    """(node, hi, hi_idx, lo, lo_idx): the last coefficients that a node sent in round 1, null where it sent all of a sign."""
+    last = lambda band, c: F.max(F.when((F.col("band") == band) & (F.col("place") == k), F.col(c)))
+    return sent.groupBy("node").agg(last(1, "coef").alias("hi"), last(1, "idx").alias("hi_idx"), last(-1, "coef").alias("lo"), last(-1, "idx").alias("lo_idx"))
+
+
+def unsent(local: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, idx, coef) that round 1 didn't send, told by the node's last ones (one row a node) in place of a join by index."""
+    coef, idx = F.col("coef"), F.col("idx")
+    high = (coef > 0) & (F.col("hi").isNull() | (coef > F.col("hi")) | (coef == F.col("hi")) & (idx <= F.col("hi_idx")))
+    low = (coef < 0) & (F.col("lo").isNull() | (coef < F.col("lo")) | (coef == F.col("lo")) & (idx <= F.col("lo_idx")))
+    return local.join(F.broadcast(edges), "node").where(~(high | low) & (coef != 0)).select("node", "idx", "coef")
+
+
+def round2(rest: DataFrame, bound: DataFrame, nodes: int) -> DataFrame:
+    """(node, idx, coef) of those not sent whose magnitude reaches bound / nodes."""
     return rest.crossJoin(F.broadcast(bound)).where(F.abs("coef") * nodes >= F.col("bound")).select("node", "idx", "coef")
 
 
 def candidates(sent: DataFrame, more: DataFrame, bound: DataFrame, nodes: int, k: int) -> DataFrame:
-    """Indexes whose total may be among the k largest; bounds are kept times ``nodes`` so no division rounds."""
-    seen = sent.select("idx", "coef").unionByName(more.select("idx", "coef")).groupBy("idx").agg(F.sum("coef").alias("s"), F.count("*").alias("n"))
+    """(idx, partial_sum) of indexes whose total may be among the k largest; bounds are kept times ``nodes`` so no division rounds."""
+    seen = sent.select("idx", "coef").unionByName(more.select("idx", "coef")).groupBy("idx").agg(F.sum("coef").alias("partial_sum"), F.count("*").alias("n"))
     room = (F.lit(nodes) - F.col("n")) * F.col("bound")
-    table = seen.crossJoin(F.broadcast(bound)).select("idx", (F.col("s") * nodes + room).alias("upper"), (F.col("s") * nodes - room).alias("lower")).withColumn("tau", _tau())
+    table = seen.crossJoin(F.broadcast(bound)).select("idx", "partial_sum", (F.col("partial_sum") * nodes + room).alias("upper"), (F.col("partial_sum") * nodes - room).alias("lower")).withColumn("tau", _tau())
     second = kth_bound(table, k).select(F.col("bound").alias("second"))
-    return table.crossJoin(F.broadcast(second)).where(F.greatest(F.abs("upper"), F.abs("lower")) >= F.col("second")).select("idx")
+    return table.crossJoin(F.broadcast(second)).where(F.greatest(F.abs("upper"), F.abs("lower")) >= F.col("second")).select("idx", "partial_sum")
+
+
+def round3(rest: DataFrame, wanted: DataFrame, bound: DataFrame, nodes: int) -> DataFrame:
+    """(node, idx, coef) of candidates that neither round sent."""
+    left = rest.crossJoin(F.broadcast(bound)).where(F.abs("coef") * nodes < F.col("bound")).select("node", "idx", "coef")
+    return left.join(wanted.select("idx"), "idx", "left_semi").select("node", "idx", "coef")
+
+
+def totals(wanted: DataFrame, last: DataFrame) -> DataFrame:
+    """(idx, coef): what round 3 sent is added to the partial sums."""
+    return haar.add(wanted.select("idx", F.col("partial_sum").alias("coef")).unionByName(last.select("idx", "coef")))
 
 
 def three_round_topk(keys: DataFrame, levels: int, k: int) -> DataFrame:
-    """Two-sided threshold top-k over nodes: equal to ``central_topk``, with less sent between rounds."""
+    """Two-sided threshold top-k over nodes: equal to ``central_topk``, with less sent between rounds.
+
+    The rounds run when this is called, since each needs the bound of the one before; the
+    result has k rows. What is held between rounds is the local coefficients, and is
+    released at the end.
+    """
     local = local_coefficients(keys, levels).persist()
-    nodes = keys.select("node").distinct()
-    m = nodes.count()
-    sent = two_sided(local, k).persist()
-    bound = kth_bound(bound_table(sent, node_bounds(nodes, sent, k)), k)
-    more = round2(local, sent, bound, m)
-    wanted = candidates(sent, more, bound, m, k)
-    return haar.top(haar.add(local.join(wanted, "idx", "left_semi").select("idx", "coef")), k)
+    spark = keys.sparkSession
+    try:
+        sent = two_sided(local, k)
+        # at most 2 k rows a node
+        held = sent.select("node", "idx", "coef", "band", "place").persist()
+        try:
+            nodes = local.select("node").distinct()
+            m = nodes.count()
+            bound = spark.createDataFrame([(kth_bound(bound_table(held, node_bounds(nodes, held, k)), k).first()["bound"],)], "bound double")
+            rest = unsent(local, cuts(held, k))
+            wanted = candidates(held, round2(rest, bound, m), bound, m, k)
+            rows = haar.top(totals(wanted, round3(rest, wanted, bound, m)), k).collect()  # k at most
+        finally:
+            held.unpersist()
+    finally:
+        local.unpersist()
+    return spark.createDataFrame(rows, "idx long, coef double")

@@ -41,8 +41,16 @@ def segments(coefs: DataFrame, levels: int) -> DataFrame:
 
 
 def at_keys(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, value) looked up in segments."""
-    return keys.join(F.broadcast(runs), (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).select("key", "value")
+    """``keys`` with the value of their segment.
+
+    Segments and keys meet in an equi-join by the upper bits of a key; the lower bits are
+    so many that segments fall into no more parts than twice their number.
+    """
+    size = runs.agg(F.count("*").alias("n"), F.coalesce(F.max("hi"), F.lit(1)).alias("top")).first()
+    low = max(0, (int(size["top"]) // max(1, size["n"])).bit_length())
+    part = lambda c: F.call_function("shiftright", F.col(c), F.lit(low))
+    dealt = runs.withColumn("_part", F.explode(F.sequence(part("lo"), part("hi"))))
+    return keys.withColumn("_part", part("key")).join(dealt, "_part").where(F.col("key").between(F.col("lo"), F.col("hi"))).select(*keys.columns, "value")
 
 
 def range_sum(runs: DataFrame, lo: int, hi: int) -> DataFrame:

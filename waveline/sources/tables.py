@@ -19,7 +19,10 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataFrame:
-    """A skewed stream of 64 keys; ``pos`` counts a node's records in order of the event."""
+    """A skewed stream of 64 keys; ``pos`` counts a node's records in order of the event.
+
+    A node stands for a split, which one task reads: its records are ordered in one.
+    """
     df = table(spark, sf_dir, "events").select("event_id", F.least(F.floor(F.col("value") / 8) + 1, F.lit(64)).cast("long").alias("key"), (F.col("user_id") % 8).alias("node"))
     if not positions:
         return df.select("key", "node")

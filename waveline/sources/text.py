@@ -20,13 +20,24 @@ def keys_of_lines(lines: DataFrame, levels: int | None = None) -> DataFrame:
     return keys.withColumn("key", F.when(inside, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("key outside the domain: "), F.col("key").cast("string"))).cast("long")))
 
 
+def node_id(*columns: Column | str) -> Column:
+    """A node's name: the sha1 of some columns, joined by a bar."""
+    return F.sha1(F.concat_ws("|", *columns).cast("binary"))
+
+
 def read_keys(spark: SparkSession, path: str, levels: int | None = None, glob: str | None = None) -> DataFrame:
     """Keys of text files; a line is a node, named by the sha1 of its file and content."""
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    lines = reader.text(path).select("value", F.sha1(F.concat_ws("|", F.col("_metadata.file_path"), "value").cast("binary")).alias("node"))
+    lines = reader.text(path).select("value", node_id(F.col("_metadata.file_path"), "value").alias("node"))
     return keys_of_lines(lines, levels)
 
 
+def write_keys(keys: DataFrame, path: str, mode: str = "overwrite", per_line: int = 1000) -> None:
+    """Comma-joined keys, at most ``per_line`` to a line, in no order."""
+    dealt = keys.select("key", F.floor(F.monotonically_increasing_id() / per_line).alias("_line"))
+    dealt.groupBy("_line").agg(F.array_join(F.collect_list(F.col("key").cast("string")), ",").alias("value")).select("value").write.mode(mode).text(path)
+
+
 _NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
 _PAIR = rf"^\s*\(?\s*(-?\d+)\s*,\s*{_NUMBER}\s*\)?\s*$"
 
@@ -60,3 +71,17 @@ def write_pairs(df: DataFrame, path: str, mode: str = "overwrite", single: bool
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single: bool = True) -> None:
     (df.coalesce(1) if single else df).write.mode(mode).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(path)
+
+
+def write_listing(freq: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``key,freq`` lines in order of the key; files follow each other in their names' order."""
+    freq.orderBy("key").select(F.concat_ws(",", F.col("key").cast("string"), F.col("freq").cast("string")).alias("value")).write.mode(mode).text(path)
+
+
+def write_ranks(listing: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``rank,key,probability`` lines in order of the rank."""
+    listing.orderBy("rank").select(F.concat_ws(",", *(F.col(c).cast("string") for c in ("rank", "key", "p"))).alias("value")).write.mode(mode).text(path)
