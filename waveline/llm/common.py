@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -28,13 +31,17 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a local folder serves a single machine (tests); on a cluster that
+    would lose data, so there it is an error.
+    """
     held = spark.sparkContext.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         if not named:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = os.path.join(tempfile.gettempdir(), "waveline-checkpoints")
         spark.sparkContext.setCheckpointDir(named)
         held = spark.sparkContext.getCheckpointDir()
@@ -44,8 +51,9 @@ def scratch_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, deleted when the block ends.
 
-    Results that outlive the block go through ``keep``, a checkpoint whose files
-    Spark's own cleaner removes once nothing refers to them.
+    Results that outlive the block go through ``keep``, a checkpoint. Spark removes its
+    files once nothing refers to them if the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; else they stay in the folder.
     """
 
     def __init__(self, spark: SparkSession):
@@ -78,6 +86,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back, for it is kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` with null texts as empty strings."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -116,25 +131,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
 
 
 _U = np.uint64
-#: Odd multiplier of the word polynomial and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-_HELD: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers modulo 2**64; tables of up to 2**22 entries are kept."""
-    out = _HELD.get(base)
-    if out is None or len(out) < n:
-        out = np.full(1 << max(n, 1 << 16).bit_length(), base, np.uint64)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            out = np.multiply.accumulate(out)
-        if len(out) <= 1 << 22:
-            _HELD[base] = out
-    return out[:n]
+_ODD = _U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,6 +144,31 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(33))
 
 
+#: Longer runs of bytes are hashed one at a time.
+_LONG = 128
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end, eight at a time with a mix after each."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix(eight[starts] & _MASKS[np.minimum(size, 8)] ^ size.astype(np.uint64) * _ODD)
+        at, left, own = starts, size, np.arange(len(starts))
+        while True:
+            more = np.flatnonzero((left > 8) & (size[own] <= _LONG))
+            if not len(more):
+                break
+            at, left, own = at[more] + 8, left[more] - 8, own[more]
+            out[own] = mix(out[own] * _ODD + (eight[at] & _MASKS[np.minimum(left, 8)]))
+    view = memoryview(padded)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+    return out
+
+
 _WORD = np.zeros(256, bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[ord("A") : ord("Z") + 1] = True
 _WORD[0x80:] = True
@@ -177,11 +199,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends_at = offsets[1:][offsets[1:] > 0] - 1
     after[ends_at] = False
     ends = np.flatnonzero(inside[:n] & ~after) + 1
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + _U(1)) * _powers(_BASE, n), out=total[1:])
-        hashes = (total[ends] - total[starts]) * _powers(_INVERSE, n)[starts]
-        hashes = mix(hashes + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    hashes = run_hashes(data, starts, ends)
     rows = np.searchsorted(starts, offsets)
     return hashes, rows
 

@@ -1,12 +1,15 @@
 """Packing documents into token sequences by a configuration linear program.
 
 Lengths are counted into a histogram (at most ``capacity`` entries, however many
-documents). A configuration is a multiset of lengths that fits one sequence; the
-program covers the histogram with the least sum of configurations. Multiplicative
-weights on the lengths approach its dual, each round pricing the best configuration
-by a knapsack dynamic program over the capacity. The fractions are rounded down and
-what they leave uncovered is filled best fit first, longest lengths first, on the
-histogram. Pieces get their place from their rank among pieces of equal length.
+documents). A configuration is a multiset of length classes (multiples of
+capacity / ``CLASSES``) that fits one sequence; the program covers the whole histogram
+with the least sum of configurations. Multiplicative weights on the classes approach
+its dual, each round pricing the best configuration by a knapsack dynamic program over
+the capacity. The fractions are rounded so that their running sum stays within a half
+of the program's, and each sequence gets lengths of its classes that fill it. What this
+leaves over (some tenth of the tokens) is filled in best fit first, longest lengths
+first, on the histogram. Pieces get their place from their rank among pieces of equal
+length.
 
 Defined results: a null or empty text is the end token alone; only documents longer
 than the capacity are cut; repeated rows are packed each on its own; an empty table
@@ -16,6 +19,7 @@ gives no rows; sequence ids count from 0; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,17 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, prepare, scratch_dir, with_text
+from .common import pieces, prepare, scratch_dir, trim, with_text
 from .tokens import tokenizer
 
 CAPACITY = 4096
 END_ID = 1
 CLASSES = 256
 ROUNDS = 1500
-RATE = 2.0
-RESERVE = 0.3
-#: Parts of the program's solution that are rounded down and kept; the rest of the histogram is filled best fit.
-SHARES = (1.0, 0.85, 0.7, 0.5, 0.35)
+RATE = 1.0
 TOKENIZER = "word_bpe_49k.json"
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in a sequence, number of such sequences
@@ -47,96 +48,110 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def price(sizes: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each size is in the heaviest configuration (an unbounded knapsack over the capacity)."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+def price(weights: np.ndarray) -> np.ndarray:
+    """How often each class is in the heaviest configuration (an unbounded knapsack; class z takes z of the capacity).
+
+    ``weights`` has one entry for each class from 0 to the capacity; classes of no weight are left out.
+    """
+    capacity = len(weights) - 1
+    best = np.zeros(capacity + 1)  # by what is left of the capacity
+    choice = np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := upto[c]:
-            value = weights[:k] + best[c - sizes[:k]]
-            i = int(value.argmax())
-            if value[i] > best[c] + 1e-12:
-                best[c], choice[c] = value[i], i
-    used, c = np.zeros(len(sizes), np.int64), capacity
+        value = weights[1 : c + 1] + best[capacity - c + 1 :]
+        i = int(value.argmax())
+        best[capacity - c], choice[c] = value[i], i + 1
+    used, c = np.zeros(capacity + 1, np.int64), capacity
     while c > 0:
-        if (i := choice[c]) >= 0:
-            used[i] += 1
-            c -= int(sizes[i])
-        else:
-            c -= 1
+        used[choice[c]] += weights[choice[c]] > 0
+        c -= int(choice[c])
     return used
 
 
-def fractions(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how many of each, fractionally, so that each size is covered as often as it occurs.
+def fractions(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how many of each, fractionally, so that each class is covered as often as it occurs.
 
-    A size's price falls by the factor exp(-RATE) whenever the demand for it is covered
-    once more, so later configurations hold what is covered least.
+    A class's price falls by the factor exp(-RATE) whenever the demand for it is covered
+    once more, so later configurations hold what is covered least. The most frequent first.
     """
     found: dict[bytes, float] = defaultdict(float)
-    cover = np.zeros(len(sizes))
+    there, cover, size = demand > 0, np.zeros(len(demand)), np.arange(len(demand)) / len(demand)
     for _ in range(rounds):
-        weights = np.exp(-RATE * (cover - cover.min())) * sizes / capacity
-        used = price(sizes, weights, capacity)
+        used = price(np.where(there, np.exp(-RATE * np.maximum(cover - cover[there].min(), 0)) * size, 0.0))
         on = used > 0
         step = float((demand[on] / used[on]).min())
         found[used.tobytes()] += step
-        cover += used * step / demand
-    scale = max(cover.mean(), 1e-9)
-    return [(np.frombuffer(u, np.int64), x / scale) for u, x in found.items()]
-
-
-def configurations(histogram: dict[int, int], capacity: int, share: float, solved: dict | None = None) -> list[Pattern]:
-    """``share`` of the linear program's configurations, rounded down and filled with lengths that there are.
-
-    The program's sizes are lengths rounded up to multiples of capacity / CLASSES. The
-    shortest lengths, RESERVE of all tokens, stay out of it: they fill the gaps later.
-    ``solved`` holds the program's solution between calls.
-    """
-    solved = {} if solved is None else solved
-    unit = max(1, capacity // CLASSES)
-    lengths = np.array(sorted(histogram), np.int64)
-    mass = lengths * np.array([histogram[int(x)] for x in lengths])
-    lengths = lengths[np.cumsum(mass) > RESERVE * mass.sum()]
-    pools: dict[int, list[list[int]]] = defaultdict(list)  # by size: [length, how many], the longest last
-    for length in lengths.tolist():
-        pools[-(-length // unit)].append([length, histogram[length]])
-    if not pools:
+        cover[on] += used[on] * step / demand[on]
+    scale = max(cover[there].mean(), 1e-9)
+    return sorted(((np.frombuffer(u, np.int64), x / scale) for u, x in found.items()), key=lambda p: -p[1])
+
+
+class _Pools:
+    """Lengths that there are, by class."""
+
+    def __init__(self, histogram: dict[int, int], unit: int):
+        self.unit = unit
+        self.counts: dict[int, dict[int, int]] = defaultdict(dict)
+        for length in sorted(histogram):
+            self.counts[self.of(length)][length] = histogram[length]
+        self.lengths = {z: list(held) for z, held in self.counts.items()}
+
+    def of(self, length: int) -> int:
+        return max(1, (length + self.unit // 2) // self.unit)
+
+    def there(self, length: int) -> int:
+        return self.counts[self.of(length)].get(length, 0)
+
+    def take(self, length: int, n: int) -> None:
+        z = self.of(length)
+        self.counts[z][length] -= n
+        if not self.counts[z][length]:
+            del self.counts[z][length]
+            self.lengths[z].remove(length)
+
+    def fill(self, members: list[int], capacity: int) -> Counter | None:
+        """Lengths of the classes, each the longest that leaves room for the others; one is changed to close a gap."""
+        if not all(self.lengths.get(z) for z in members):
+            return None
+        later, taken = sum(self.lengths[z][0] for z in members), Counter()
+        for z in members:
+            later -= self.lengths[z][0]
+            i = bisect_right(self.lengths[z], capacity - later) - 1
+            while i >= 0 and self.there(self.lengths[z][i]) <= taken[self.lengths[z][i]]:
+                i -= 1
+            if i < 0:
+                return None
+            taken[self.lengths[z][i]] += 1
+            capacity -= self.lengths[z][i]
+        if capacity:
+            for length in sorted(taken, reverse=True):
+                if taken[length] and self.there(length + capacity) > taken[length + capacity]:
+                    taken[length] -= 1
+                    taken[length + capacity] += 1
+                    break
+        return +taken
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """The linear program's configurations, rounded, as sequences of lengths that there are."""
+    if not histogram:
         return []
-    sizes = np.array(sorted(pools), np.int64)
-    demand = np.array([sum(n for _, n in pools[int(z)]) for z in sizes], float)
+    unit = max(1, capacity // CLASSES)
+    pools = _Pools(histogram, unit)
+    demand = np.zeros(pools.of(capacity) + 1)
+    for z, held in pools.counts.items():
+        demand[z] = sum(held.values())
     out: list[Pattern] = []
-    if not solved:
-        solved["x"] = sorted(fractions(sizes, demand, capacity // unit), key=lambda p: -p[1])
-    for used, x in solved["x"]:
-        members = [int(sizes[i]) for i in np.flatnonzero(used)[::-1] for _ in range(used[i])]
-        need = Counter(members)
-        n = min(int(x * share), *(sum(k for _, k in pools[z]) // c for z, c in need.items()))
-        while n > 0:
-            # sequences that get the same lengths: as many as the ends of the pools allow
-            k, taken = n, []
-            for z, c in need.items():
-                length, there = pools[z][-1]
-                if there >= c:
-                    k = min(k, there // c)
-                    taken += [length] * c
-                else:
-                    k, mixed, rest = 1, [], c
-                    for length, there in reversed(pools[z]):
-                        mixed += [length] * min(there, rest)
-                        rest -= min(there, rest)
-                        if not rest:
-                            break
-                    taken += mixed
-            for length, c in Counter(taken).items():
-                pool = pools[-(-length // unit)]
-                entry = next(e for e in reversed(pool) if e[0] == length)
-                entry[1] -= c * k
-                while pool and not pool[-1][1]:
-                    pool.pop()
-            out.append((tuple(taken), k))
+    due = 0.5
+    for used, x in fractions(demand):
+        members = [int(z) for z in np.flatnonzero(used)[::-1] for _ in range(used[z])]
+        due += x
+        n = int(due)
+        due -= n
+        while n > 0 and (taken := pools.fill(members, capacity)):
+            k = min(n, *(pools.there(length) // c for length, c in taken.items()))
+            for length, c in taken.items():
+                pools.take(length, c * k)
+            out.append((tuple(taken.elements()), k))
             n -= k
     return out
 
@@ -175,25 +190,15 @@ def best_fit(histogram: dict[int, int], capacity: int, open_bins: list[Pattern]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Sequences that hold every length as often as it occurs: the fewest of the roundings tried."""
+    """Sequences that hold every length as often as it occurs."""
     whole = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
     short = {n: c for n, c in histogram.items() if n < capacity and c}
-    solved: dict = {}
-    best: list[Pattern] | None = None
-    least = -(-sum(n * c for n, c in short.items()) // capacity)
-    for share in SHARES:
-        chosen = configurations(short, capacity, share, solved)
-        left = dict(short)
-        for pattern, n in chosen:
-            for length in pattern:
-                left[length] -= n
-        made = best_fit({n: c for n, c in left.items() if c}, capacity, chosen)
-        count = sum(n for _, n in made)
-        if best is None or count < sum(n for _, n in best):
-            best = made
-        if count <= least:
-            break
-    return whole + best
+    chosen = configurations(short, capacity)
+    left = Counter(short)
+    for pattern, n in chosen:
+        for length in pattern:
+            left[length] -= n
+    return whole + best_fit(+left, capacity, chosen)
 
 
 def slots(patterns: list[Pattern]) -> np.ndarray:
@@ -231,6 +236,7 @@ def tokens(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)][: 8 if keep_ids else 7], names=names[: 8 if keep_ids else 7])
+        trim()
 
     return with_text(docs).mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * keep_ids)
 

@@ -4,8 +4,8 @@ Text between white space is tokenized on its own (no pattern of the file spans
 white space), so the ids of a run of characters are kept in a table. New runs of
 plain characters go through the merge ranks with a compiled byte-pair loop; all
 others go to the tokenizers library itself. Texts of ASCII and Western European
-letters without apostrophes are cut into words for a whole batch at once and
-looked up by a 64-bit hash of the word.
+letters without apostrophes are cut into words for a whole batch at once; equal words
+of a batch are found by a 64-bit hash, and each distinct one is looked up by its bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import _BASE, _INVERSE, _powers, buffer, mix
+from .common import buffer, run_hashes
 
 TABLE_ENTRIES = 600_000
 TABLE_CHARS = 24_000_000
@@ -80,7 +80,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.hashed: dict[int, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}
+        self.seen_bytes = 0
         self.chars = 0
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -168,27 +169,27 @@ class WordTokenizer:
             row = np.append(0, np.cumsum(np.diff(row) * plain))
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(plain), np.int64)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=total[1:])
-            key = mix((total[ends] - total[starts]) * _powers(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = run_hashes(data, starts, ends)
         order = np.argsort(key)
         ranked = key[order]
         first = np.append(True, ranked[1:] != ranked[:-1])
-        unique = ranked[first]
         where = np.empty(len(key), np.int64)
         where[order] = np.cumsum(first) - 1
         sample = order[first]
         found = []
-        for h, at in zip(unique.tolist(), sample.tolist(), strict=True):
-            ids = self.hashed.get(h)
+        raw = data.tobytes()
+        for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True):
+            word = raw[a:b]
+            ids = self.seen.get(word)
             if ids is None:
-                ids = self.hashed[h] = self._word(data[starts[at] : ends[at]].tobytes())
+                ids = self.seen[word] = self._word(word)
+                self.seen_bytes += len(word)
             found.append(ids)
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
-        if len(self.hashed) > TABLE_ENTRIES:
-            self.hashed.clear()
+        if len(self.seen) > TABLE_ENTRIES or self.seen_bytes > TABLE_CHARS:
+            self.seen.clear()
+            self.seen_bytes = 0
         begin = np.append(0, np.cumsum(length))[:-1]
         each = length[where]
         to = np.append(0, np.cumsum(each))
