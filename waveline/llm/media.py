@@ -4,7 +4,9 @@ A payload is stored as a WAV file (mono, unsigned 8 bit, 16 kHz), the stored fil
 is read again, and its samples pass polyphase resampling (5/8, to 10 kHz),
 overlapped log-mel filterbanks and a two-threshold (hysteresis) energy
 segmentation. The features are a tensor of fixed shape (``SLOTS`` equal time spans
-x ``MELS`` bands) and a list of voiced time spans.
+x ``MELS`` bands) and a list of voiced time spans. Spark has no tensor type: its rows
+and files hold the tensor as an array of SLOTS * MELS numbers, and ``to_tensors`` makes
+Arrow's fixed-shape type of it without a copy of the numbers.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts
 give equal values; texts of any length are read in blocks, so memory besides the
@@ -22,15 +24,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import buffer, prepare, with_text
+from .common import buffer, pieces, prepare, with_text
 
 RATE, UP, DOWN, TAPS = 16_000, 5, 8, 12
 FRAME, HOP, MELS, SLOTS = 256, 128, 16, 8
 PAD = 64
 BLOCK = 1 << 18  # samples, a multiple of DOWN
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, log_mel array<float>, span_start array<double>, span_end array<double>"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, log_mel array<float>, span_start array<double>, span_end array<double>"
 
 
 def store(payload: bytes) -> bytes:
@@ -112,29 +115,46 @@ def features(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tensor, np.stack([starts[keep], ends[keep]], axis=1) * step
 
 
+def told(tensor: np.ndarray, spans: np.ndarray) -> str:
+    """A sha256 of the tensor and the spans, to three digits."""
+    digits = lambda x: np.round(x.astype(np.float64) * 1000).astype("<i8").tobytes()
+    return hashlib.sha256(digits(tensor) + b"|" + digits(spans)).hexdigest()
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("log_mel", pa.list_(pa.float32())), ("span_start", pa.list_(pa.float64())), ("span_end", pa.list_(pa.float64()))])
-    for batch in batches:
-        data, offsets = buffer(batch.column("text"))
-        out: list[tuple] = []
-        for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-            raw = data[offsets[i] : offsets[i + 1]].tobytes()
-            media = store(raw + bytes(-len(raw) % PAD if raw else PAD))
-            payload = load(media)
-            tensor, spans = features(np.frombuffer(payload, np.uint8))
-            out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), tensor.ravel().tolist(), spans[:, 0].tolist(), spans[:, 1].tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "log_mel", "span_start", "span_end"]
+    for whole in batches:
+        for batch in pieces(whole):
+            data, offsets = buffer(batch.column("text"))
+            out, tensors, starts, ends, at = [], [np.zeros(0, np.float32)], [np.zeros(0)], [np.zeros(0)], [0]
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                media = store(raw + bytes(-len(raw) % PAD if raw else PAD))
+                payload = load(media)
+                tensor, spans = features(np.frombuffer(payload, np.uint8))
+                out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), told(tensor, spans)))
+                tensors.append(tensor.ravel())
+                starts.append(spans[:, 0])
+                ends.append(spans[:, 1])
+                at.append(at[-1] + len(spans))
+            arrays = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+            slots = pa.array(np.arange(len(out) + 1) * SLOTS * MELS, pa.int32())
+            lists = [pa.ListArray.from_arrays(o, pa.array(np.concatenate(x))) for o, x in ((slots, tensors), (pa.array(at, pa.int32()), starts), (pa.array(at, pa.int32()), ends))]
+            yield pa.RecordBatch.from_arrays(arrays + lists, names=names)
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """One row per document with checksums of the stored form, the tensor and the spans."""
+    """One row per document with checksums of the stored form, a digest of the features, the tensor and the spans."""
     prepare(docs.sparkSession)
     return with_text(docs).mapInArrow(_rows, SCHEMA)
 
 
 def to_tensors(table: pa.Table) -> pa.Table:
-    """A collected or read result with ``log_mel`` as Arrow's fixed-shape tensor type."""
+    """A collected or read result with ``log_mel`` as Arrow's fixed-shape tensor type; rows of another size are an error."""
     kind = pa.fixed_shape_tensor(pa.float32(), (SLOTS, MELS))
-    flat = table.column("log_mel").combine_chunks().flatten()
-    tensors = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, SLOTS * MELS))
+    held = table.column("log_mel").combine_chunks()
+    if pc.any(pc.not_equal(pc.list_value_length(held), SLOTS * MELS)).as_py() or held.null_count:
+        raise ValueError(f"log_mel: {SLOTS * MELS} numbers in each row")
+    tensors = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(held.flatten(), SLOTS * MELS))
     return table.set_column(table.schema.get_field_index("log_mel"), pa.field("log_mel", kind), tensors)

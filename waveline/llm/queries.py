@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +47,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.extract(_read(spark, sf_dir, "documents"))
-    # the tensor and the spans as text, to three digits
-    digits = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.3f", x.cast("double"))), " ")
-    told = F.sha2(F.concat_ws("|", digits("log_mel"), digits("span_start"), digits("span_end")), 256)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", told.alias("feature"), F.size("span_start").cast("long").alias("n_spans"))
+    return media.extract(_read(spark, sf_dir, "documents"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
