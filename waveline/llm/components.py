@@ -17,7 +17,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.table(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        near = scratch.table(both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near")))
         moved = scratch.table(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jump = moved.select(F.col("id").alias("label"), F.col("label").alias("far"))
         moved = scratch.table(moved.join(jump, "label").select("id", "old", F.least("label", "far").alias("label")))

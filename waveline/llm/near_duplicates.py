@@ -12,8 +12,10 @@ Two texts are linked if the Jaccard similarity of their sets of five-word shingl
    (twelve sub-bands of four). All pairs of what is still as large are compared too,
    beyond twice ``BLOCK`` texts in pairs of blocks.
 3. The components of the surviving pairs are verified: all pairs in a component by
-   exact set intersections. Components of more than ``CLUSTER`` texts are verified in
-   pairs of blocks, so no task holds one of unbounded size.
+   exact set intersections. A component of more than ``CLUSTER`` texts or
+   ``CLUSTER_SHINGLES`` shingles is verified in pairs of blocks of at most about that
+   size, so no task holds one of unbounded size. A text goes to as many tasks as its
+   component has blocks: exact numbers of links cost that.
 
 Only counts and one edge for each linked text leave a task, never all pairs.
 
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR_SIMILARITY, Scratch, keyed, mix, pieces, prepare
+from .common import NEAR_SIMILARITY, Scratch, keyed, mix, pieces, prepare, trim
 from .common import word_hashes
 from .components import components
 from .decontaminate import row_shingles
@@ -45,7 +47,8 @@ TOLERANCE = 1e-5
 BUCKET = 512
 SUB_BANDS, SUB_ROWS = 12, 4
 BLOCK = 2000
-CLUSTER = 1000
+CLUSTER, CLUSTER_SHINGLES = 4000, 1 << 20
+TILE = 512
 BIN_ROWS = 4000
 SIGNED = "h1 long, h2 int, doc_id long, c1 long, c2 long, n long, sig binary, bands array<long>"
 
@@ -94,6 +97,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n[i], sig[i], bands[i] = len(np.unique(flat[at[i] : at[i + 1]])), small[k].tobytes(), band[k]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("h1", "h2", "doc_id")] + [pa.array(x, t) for x, t in zip((c1, c2, n, sig, bands), kinds, strict=True)], names=["h1", "h2", "doc_id", "c1", "c2", "n", "sig", "bands"])
+    trim()
 
 
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,6 +148,7 @@ def _bucket_edges(threshold: float):
                     label = _least_labels(len(names), label[node[a]], label[node[b]])[label]
             d += 1
         inner = np.flatnonzero(label != np.arange(len(label)))
+        trim()
         return pa.table({"a": names[label[inner]], "b": names[inner]})
 
     return of
@@ -207,52 +212,71 @@ def candidate_edges(texts: DataFrame, scratch: Scratch, threshold: float) -> Dat
     return out
 
 
-def _links(sets: list[np.ndarray], threshold: float, left: np.ndarray | None = None) -> np.ndarray:
-    """The matrix of links among some sets, exact."""
+def _tiles(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Exact links of some of the sets to others of them: (``TILE`` of the rows, linked rows x columns) at a time."""
     n = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
-    _, word, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     use = count[word] > 1
     word, owner = word[use], owner[use]
     _, word = np.unique(word, return_inverse=True)
     order = np.argsort(word, kind="stable")
     word, owner = word[order], owner[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    for a in range(0, int(word[-1]) + 1 if len(word) else 0, width):
-        lo, hi = np.searchsorted(word, [a, a + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[owner[lo:hi], word[lo:hi] - a] = 1
-        common += part @ part.T
-    # in whole numbers below 2**24: threshold * union <= common
-    union = n[:, None] + n[None, :] - common.astype(np.int64)
-    linked = common.astype(np.int64) >= np.ceil(union * threshold - 1e-9)
-    np.fill_diagonal(linked, False)
-    return linked
+    words = int(word[-1]) + 1 if len(word) else 0
+    width = max(1, min(words, max(64, (4 << 20) // len(sets))))  # words at a time, in 16 MB
+    for first in range(0, len(rows), TILE):
+        own = rows[first : first + TILE]
+        common = np.zeros((len(own), len(columns)), np.float32)
+        for a in range(0, words, width):
+            lo, hi = np.searchsorted(word, [a, a + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[lo:hi], word[lo:hi] - a] = 1
+            common += part[own] @ part[columns].T
+        # in whole numbers below 2**24: threshold * union <= common
+        both = common.astype(np.int64)
+        union = n[own][:, None] + n[columns][None, :] - both
+        yield own, both >= np.ceil(union * threshold - 1e-9)
+
+
+def links(sets: list[np.ndarray], copies: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Least member of each set's component, and the copies linked to it; with ``side``, of pairs across two sides alone."""
+    total, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    rows = np.arange(len(sets)) if side is None else np.flatnonzero(side)
+    columns = rows if side is None else np.flatnonzero(~side)
+    if not len(rows) or not len(columns):
+        return label, total
+    for own, linked in _tiles(sets, rows, columns, threshold):
+        if side is None:
+            linked[np.arange(len(own)), own] = False
+        total[own] += linked @ copies[columns]
+        if side is not None:
+            total[columns] += copies[own] @ linked
+        x = np.flatnonzero(linked.any(axis=1))
+        y = linked[x].argmax(axis=1)  # what one link connects already needs no other
+        while len(x):
+            label = _least_labels(len(sets), label[own[x]], label[columns[y]])[label]
+            x, y = np.nonzero(linked & (label[own][:, None] != label[columns][None, :]))
+    return label, total
 
 
 def _verify(threshold: float):
-    """c1, label, links for the texts of whole components (bin), or a, b edges and links of block pairs."""
+    """c1, label, links for the texts of whole components, or of pairs of their blocks."""
 
     def of(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("p", "ascending"), ("q", "ascending"), ("c1", "ascending")])
         flat, at = row_shingles(table.column("text").combine_chunks())
         sets = [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        del flat
         group = np.stack([table.column(c).to_numpy() for c in ("cluster", "p", "q")])
         ids, copies, block = (table.column(c).to_numpy() for c in ("c1", "copies", "block"))
         new = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
         out: list[tuple] = []
         for a, b in zip(new, np.append(new[1:], len(ids)), strict=True):
-            linked = _links(sets[a:b], threshold)
             p, q = group[1, a], group[2, a]
-            if p != q:  # only pairs across the two blocks
-                linked &= block[a:b, None] != block[None, a:b]
-            links = linked @ copies[a:b]
-            x, y = np.nonzero(np.triu(linked))
-            label = _least_labels(b - a, x, y)
-            out.append((ids[a:b], ids[a + label], links))
+            label, total = links(sets[a:b], copies[a:b], threshold, None if p == q else block[a:b] == p)
+            out.append((ids[a:b], ids[a + label], total))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        trim()
         return pa.table({"c1": columns[0], "label": columns[1], "links": columns[2].astype(np.int64)})
 
     return of
@@ -272,17 +296,15 @@ def join(docs: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
         counts = scratch.table(counts)
         texts = scratch.table(signed.where("c1 is not null").join(counts, ["c1", "c2", "h1", "h2"]).dropDuplicates(["c1", "c2"]))
         edges = scratch.table(candidate_edges(texts, scratch, threshold))
-        clusters = components(edges, scratch)
-        sizes = clusters.groupBy("label").agg(F.count("*").alias("k"))
-        placed = clusters.join(sizes, "label").select(F.col("id").alias("c1"), F.col("label").alias("cluster"), "k")
-        blocks = F.ceil(F.col("k") / CLUSTER).cast("long")
-        placed = placed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("c1"), blocks)})
-        placed = scratch.table(placed.join(texts.select("c1", "h1", "h2", "copies").hint("merge"), "c1"))
+        # what is grouped and then joined by the same key is written first, so that the planner may split hot keys
+        clusters = scratch.table(components(edges, scratch).select(F.col("id").alias("c1"), F.col("label").alias("cluster")).join(texts.select("c1", "n", "h1", "h2", "copies").hint("merge"), "c1"))
+        sizes = scratch.table(clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum("n") / CLUSTER_SHINGLES)).cast("long").alias("blocks")))
+        placed = scratch.table(clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks"))))
         found = placed.join(keyed(docs).select("h1", "h2", "text").hint("merge"), ["h1", "h2"]).dropDuplicates(["c1"])
         other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
         found = found.withColumn("other", F.explode(other)).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
-        total = placed.agg(F.sum("blocks").alias("rows"), F.max("blocks").alias("most")).first()
-        bins = max(1, (total["rows"] or 0) // 300)
+        total = placed.agg(F.sum("blocks").alias("rows"), F.sum(F.col("blocks") * F.col("n")).alias("shingles"), F.max("blocks").alias("most")).first()
+        bins = max(1, (total["rows"] or 0) // 300, (total["shingles"] or 0) // (CLUSTER_SHINGLES // 4))
         found = found.select("cluster", "p", "q", "c1", "copies", "block", "text").withColumn("bin", F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(bins)))
         checked = scratch.table(found.groupBy("bin").applyInArrow(_verify(threshold), "c1 long, label long, links long"))
         if (total["most"] or 0) > 1:
@@ -292,14 +314,16 @@ def join(docs: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
         known = counts.select("c1", "c2", "copies").join(checked, "c1", "left").select("c1", "c2", "copies", F.coalesce("label", "c1").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
         rows = signed.select("doc_id", "c1", "c2").join(known.hint("merge"), ["c1", "c2"], "left")
         rows = scratch.table(rows.select("doc_id", "label", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies")))
-        names = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+        names = scratch.table(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id")))
         return scratch.keep(rows.join(names, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", "n_copies"))
 
 
 def keep_first(docs: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
     """One document of each class (that with the least id), all columns; of repeated rows one.
 
-    Rows without an id can't be named and stay.
+    Defined results: rows without an id can't be named and stay; documents without a word
+    (null and empty texts too) are classes of their own and stay; of several texts with the
+    class's least id each stays; columns may have any names; an empty table gives no rows.
     """
     classes = join(docs, threshold)
     firsts = classes.where("doc_id = class_id").select("doc_id").distinct()
