@@ -3,12 +3,14 @@
 Texts are lower-cased, everything but letters becomes a space, and the 1- to 3-grams
 of characters fall into ``2**BITS`` hashed features. Document frequencies come from
 all training documents. The weights are trained by follow-the-regularised-leader
-with elastic-net penalties on at most ``MAX_FIT`` training documents; one in
-``CALIBRATE`` of these is kept back to fit the temperature of the probabilities.
+with elastic-net penalties on at most ``MAX_FIT`` training documents, of which only
+counts of n-grams are gathered; one in ``CALIBRATE`` of these is kept back to fit the
+temperature of the probabilities.
 
 Defined results: a null text or one without a letter gets ``und`` and score 0, as
 does every text where no training language exists; null languages teach nothing;
-ties go to the language first in order; repeated rows are separate rows.
+ties go to the language first in order; repeated rows are separate rows; an empty table
+gives no rows; other columns than those named are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ def _letters() -> np.ndarray:
 
 
 LETTER = _letters()
-LOG = 1 + np.log(np.maximum(np.arange(1 << 16), 1))  # larger counts weigh as the last
 
 
 def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ class Model:
 
 def _tfidf(row: np.ndarray, n: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
     """(1 + ln count) x idf, of unit length in each row."""
-    x = LOG[np.minimum(n, len(LOG) - 1)] * idf
+    x = (1 + np.log(n)) * idf
     length = np.sqrt(np.bincount(row, x * x, minlength=rows))
     return x / np.maximum(length, 1e-12)[row]
 
@@ -108,16 +109,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: pa.Array, langs: list[str], idf: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, epochs: int = 2, batch: int = 8) -> Model:
-    """FTRL-proximal: per-coordinate rates, exact zeros by the l1 part."""
+def fit(row: np.ndarray, feature: np.ndarray, n: np.ndarray, langs: list[str], idf: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, epochs: int = 2, batch: int = 8) -> Model:
+    """FTRL-proximal on (row, feature, count) in order of row: per-coordinate rates, exact zeros by the l1 part."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), idf)
-    parts = []
-    for a in range(0, len(langs), 200):  # a part of the texts at a time, for the driver's memory
-        row, feature, n, has = counts(texts.slice(a, 200))
-        parts.append(((row + a).astype(np.int32), feature.astype(np.int32), _tfidf(row, n, idf[feature], len(has))))
-    row, feature, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+    x = _tfidf(row, n, idf[feature], len(langs))
     starts = np.searchsorted(row, np.arange(len(langs) + 1))
     y = np.array([names.index(v) for v in langs])
     kept = np.arange(len(langs)) % CALIBRATE == 0
@@ -151,7 +148,7 @@ def fit(texts: pa.Array, langs: list[str], idf: np.ndarray, alpha: float = 1.0,
     w = weights(np.arange(shape[0]))
     model = Model(names, w[:-1], w[-1], idf)
     if kept.any():
-        logits, _ = model.logits(texts.filter(pa.array(kept)))
+        logits = np.stack([np.bincount(row, x * w[feature, k], minlength=len(langs)) for k in range(len(names))], axis=1)[kept] + w[-1]
         truth = y[kept]
         # golden-section search for the temperature of the least log loss
         loss = lambda t: -np.log(_softmax(logits / np.exp(t))[np.arange(len(truth)), truth] + 1e-12).mean()
@@ -174,6 +171,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], docs))], names=["feature", "n"])
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-gram counts of each row: at most 2**BITS features of 2 bytes and counts of 4, however long the text."""
+    for whole in batches:
+        for batch in pieces(whole):
+            row, feature, n, _ = counts(batch.column("text"))
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            feature, n = feature.astype("<u2"), np.minimum(n, np.iinfo(np.uint32).max).astype("<u4")
+            vectors = [(feature[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            columns = list(zip(*vectors, strict=True)) if vectors else [[], []]
+            yield pa.RecordBatch.from_arrays([batch.column("o1"), batch.column("o2"), batch.column("lang"), *(pa.array(c, pa.binary()) for c in columns)], names=["o1", "o2", "lang", "feature", "n"])
+
+
 def train(docs: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Learns from rows with a language that aren't held out; frequencies from all of them."""
     prepare(docs.sparkSession)
@@ -183,12 +192,14 @@ def train(docs: DataFrame, max_fit: int = MAX_FIT) -> Model:
     n, feature = frequency.column("n").to_numpy(), frequency.column("feature").to_numpy()
     idf = np.zeros(1 << BITS)
     idf[feature[feature >= 0]] = np.log((1 + n[feature < 0].sum()) / (1 + n[feature >= 0])) + 1
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("_order"), F.xxhash64("text").alias("_h")).orderBy("_order", "_h").limit(max_fit)
-    last = ids.agg(F.max("_order")).first()[0]
-    sample = rows.where(F.xxhash64("doc_id") <= F.lit(last if last is not None else 0)).select("doc_id", "text", "lang")
-    # several rows with one id share an order; the cut keeps the bound
-    sample = sample.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "lang").limit(max_fit).toArrow()
-    return fit(sample.column("text").combine_chunks(), sample.column("lang").to_pylist(), idf)
+    own = rows.select(F.xxhash64("doc_id").alias("o1"), F.xxhash64("text").alias("o2"), "text", "lang")
+    last = own.select("o1", "o2").orderBy("o1", "o2").limit(max_fit).agg(F.max("o1")).first()[0]
+    # of the texts only counts leave their tasks; several rows with one id share an order, and the limit keeps the bound
+    sample = own.where(F.col("o1") <= F.lit(last if last is not None else 0)).mapInArrow(_vectors, "o1 long, o2 long, lang string, feature binary, n binary")
+    sample = sample.orderBy("o1", "o2", "lang").limit(max_fit).toArrow()
+    flat = [np.concatenate([np.zeros(0, kind), *(np.frombuffer(v, kind) for v in sample.column(c).to_pylist())]) for c, kind in (("feature", "<u2"), ("n", "<u4"))]
+    row = np.repeat(np.arange(sample.num_rows, dtype=np.int32), [len(v) // 2 for v in sample.column("feature").to_pylist()])
+    return fit(row, flat[0].astype(np.int32), flat[1], sample.column("lang").to_pylist(), idf)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
