@@ -3,7 +3,7 @@
 Only suffixes smaller than their successors are sorted directly; a scan over the
 first-byte buckets in ascending order induces the place of all others (a suffix
 larger than its successor follows from the successor's place). Orders and common
-prefixes are exact up to ``depth`` bytes.
+prefixes are exact up to ``depth`` bytes, 64 equal bytes being told by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ def _words(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_hashes(words: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """By size 8, 16, ...: a hash of that many bytes from each position."""
-    out, size, h = {8: words}, 8, words
+def jump_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of the 64 bytes from each position."""
+    h, size = mix(words), 8
     with np.errstate(over="ignore"):
-        while size * 2 <= max(depth, _JUMP):
-            ahead = np.append(h[size:], np.zeros(min(size, len(h)), np.uint64))[: len(h)]
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ahead)
+        for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+            far = h[size:] * np.uint64(odd)
+            h = h + np.uint64(size)
+            h[: len(far)] += far
             size *= 2
-            out[size] = h
-    return out
+    return h
 
 
 def _sort_small(at: np.ndarray, words: np.ndarray, jump: np.ndarray, depth: int) -> np.ndarray:
@@ -42,24 +42,22 @@ def _sort_small(at: np.ndarray, words: np.ndarray, jump: np.ndarray, depth: int)
     end = len(words) - 1
     order = at[np.argsort(words[at])]
     key = words[order]
-    group = np.cumsum(np.append(False, key[1:] != key[:-1]))
-    where = np.arange(len(order))  # places still in a group of several
-    same = np.full(len(order), 8)  # bytes known to be equal
+    fresh = np.append(True, key[1:] != key[:-1])  # where a group of equal prefixes begins
+    where = np.arange(len(order), dtype=np.int32)  # places still in a group of several
+    same = np.full(len(order), 8, np.int32)  # bytes known to be equal
     while len(where):
-        n = np.bincount(group)
-        many = (n[group] > 1) & (same < depth)
-        where, group, same = where[many], group[many], same[many]
+        many = ~(fresh & np.append(fresh[1:], True)) & (same < depth)
+        where, fresh, same = where[many], fresh[many], same[many]
         if not len(where):
             break
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        each = np.diff(np.append(starts, len(group)))
-        group = np.repeat(np.arange(len(starts)), each)
+        starts = np.flatnonzero(fresh)
+        each = np.diff(np.append(starts, len(where)))
         pos = order[where]
         # groups that agree on a long block skip it
         h = jump[np.minimum(pos + same, end)]
         odd = h != np.repeat(h[starts], each)
         agree = np.repeat(~np.logical_or.reduceat(odd, starts), each)
-        same = np.where(agree, same + _JUMP, same)
+        same[agree] += _JUMP
         if agree.all():
             continue
         act = np.flatnonzero(~agree)
@@ -68,19 +66,17 @@ def _sort_small(at: np.ndarray, words: np.ndarray, jump: np.ndarray, depth: int)
         sorted_words = word[by_word]
         rank = np.empty(len(act), np.int64)
         rank[by_word] = np.cumsum(np.append(False, sorted_words[1:] != sorted_words[:-1]))
-        both = (group[act] << 32) | rank
+        both = (np.cumsum(fresh)[act] << 32) | rank
         again = np.argsort(both)
         order[where[act]] = pos[act][again]
         same[act] += 8
-        parts = np.zeros(len(where), np.int64)
-        parts[act] = both[again]
-        fresh = np.append(False, (group[1:] != group[:-1]) | (parts[1:] != parts[:-1]))
-        group = np.cumsum(fresh)
+        both = both[again]
+        fresh[act[1:]] = both[1:] != both[:-1]  # the first of all begins its group already
     return order
 
 
 def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None, jump: np.ndarray | None = None, ranges: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Positions of all suffixes, ordered by their first ``depth`` bytes at least.
+    """Positions of all suffixes (of less than 2**31 bytes), ordered by their first ``depth`` bytes at least.
 
     With ``ranges`` (starts, stops), in order and apart: of the suffixes from each start
     to the first one at or after its stop that is smaller than its successor, which is
@@ -88,15 +84,16 @@ def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None,
     """
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     if words is None:
         words = _words(text)
     if jump is None:
-        jump = block_hashes(words, _JUMP)[_JUMP]
+        jump = jump_hashes(words)
     nxt = np.append(text[1:].astype(np.int16), -1)
-    differs = np.flatnonzero(text != nxt)
-    decided = differs[np.searchsorted(differs, np.arange(n))]  # the end of a run of equal bytes decides
+    decided = np.where(text != nxt, np.arange(n, dtype=np.int32), np.int32(n - 1))
+    decided = np.minimum.accumulate(decided[::-1])[::-1]  # the end of a run of equal bytes decides
     small = text[decided] < nxt[decided]
+    del nxt, decided
     asked = np.ones(n, bool)
     if ranges is not None:
         smaller = np.append(np.flatnonzero(small), n - 1)
@@ -105,12 +102,12 @@ def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None,
         np.add.at(edges, ranges[0], 1)
         np.add.at(edges, last + 1, -1)
         asked = np.cumsum(edges[:n]) > 0
-    direct = _sort_small(np.flatnonzero(small & asked), words, jump, depth)
+    direct = _sort_small(np.flatnonzero(small & asked).astype(np.int32), words, jump, depth)
     cuts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     if asked[n - 1]:
-        waiting[text[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix
-    parts = [np.zeros(0, np.int64)]
+        waiting[text[n - 1]].append(np.array([n - 1], np.int32))  # its successor is the empty suffix
+    parts = [np.zeros(0, np.int32)]
     induced = ~small & asked
 
     def induce(found: np.ndarray, byte: int) -> np.ndarray:
@@ -129,7 +126,7 @@ def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None,
         return own
 
     for byte in range(256):
-        front = np.concatenate(waiting[byte]) if waiting[byte] else np.zeros(0, np.int64)
+        front = np.concatenate(waiting[byte]) if waiting[byte] else np.zeros(0, np.int32)
         while len(front):
             parts.append(front)
             front = induce(front, byte)
@@ -140,33 +137,33 @@ def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None,
     return np.concatenate(parts)
 
 
-def common_prefixes(order: np.ndarray, hashes: dict[int, np.ndarray], text: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(order: np.ndarray, words: np.ndarray, jump: np.ndarray, depth: int) -> np.ndarray:
     """Bytes (at most ``depth``) that each suffix shares with the one before it in the order."""
-    a, b = order[:-1].copy(), order[1:].copy()
-    end = len(text)
-    got = np.zeros(len(a), np.int64)
-    for size in sorted(hashes, reverse=True):
-        h = hashes[size]
-        for _ in range(1 if size < max(hashes) else -(-depth // size)):
-            inside = np.maximum(a, b) + got + size <= end
-            same = inside & (h[np.minimum(a + got, end)] == h[np.minimum(b + got, end)])
-            got += np.where(same, size, 0)
-    for _ in range(7):
-        inside = np.maximum(a, b) + got < end
-        same = inside & (text[np.minimum(a + got, end - 1)] == text[np.minimum(b + got, end - 1)])
-        got += same
-    return np.append(0, np.minimum(got, depth))
-
-
-def repeats(order: np.ndarray, hashes: dict[int, np.ndarray], text_len: int, depth: int) -> np.ndarray:
-    """Where the common prefix with the suffix before reaches ``depth`` bytes (blocks of powers of two; a multiple of 8)."""
-    at = np.flatnonzero(np.maximum(order[:-1], order[1:]) + depth <= text_len) + 1
-    done = 0
-    for size in sorted(hashes, reverse=True):
-        while depth - done >= size:
-            h = hashes[size]
-            at = at[h[order[at - 1] + done] == h[order[at] + done]]
+    end = len(words) - 1
+    got = np.zeros(len(order), np.int32)
+    on = np.arange(1, len(order), dtype=np.int32)
+    for size, h in ((_JUMP, jump), (8, words)):
+        at, a, b = on, order[:-1], order[1:]
+        if size < _JUMP:
+            at = on[got[1:] < depth]
+            a, b = order[at - 1] + got[at], order[at] + got[at]
+        done = 0
+        while len(at):
+            same = np.flatnonzero(h[a] == h[b])
+            at, a, b = at[same], a[same], b[same]
+            inside = np.maximum(a, b) + size <= end
+            if not inside.all():
+                at, a, b = at[inside], a[inside], b[inside]
+            got[at] += size
             done += size
-    out = np.zeros(len(order), bool)
-    out[at] = True
-    return out
+            if size == _JUMP and done >= depth or size < _JUMP and done >= _JUMP:
+                break
+            a, b = np.minimum(a + size, end), np.minimum(b + size, end)
+    on = on[got[1:] < depth]
+    a, b = order[on - 1] + got[on], order[on] + got[on]
+    odd = words[a] ^ words[b]
+    inside = end - np.maximum(a, b)  # zeros follow the end, and a suffix has none of them
+    # of the word that differs, its leading equal bytes
+    more = sum((odd < np.uint64(1 << (64 - 8 * k))).astype(np.int32) for k in range(1, 8))
+    got[on] += np.minimum(more, inside).astype(np.int32)
+    return np.minimum(got, depth)
