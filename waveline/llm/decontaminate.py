@@ -182,7 +182,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
-    """The documents that hold no item, all columns."""
+    """The documents that hold no item, all columns; those without a word stay, of repeated rows all or none."""
     prepare(docs.sparkSession)
     for index in _blocks(items, threshold):
         held = docs.sparkSession.sparkContext.broadcast(index)

@@ -1,18 +1,20 @@
 """Quality scores from Bradley-Terry pairwise ranking.
 
-Every preference pair is a training document labelled 1 over one labelled 0. The
-chance that one document beats another is the logistic function of the difference
-of their scores, scores being linear in text features, so the weights minimise the
-logistic loss on feature differences. The cut is a quantile of the training scores;
-a reported score is the logistic function of the distance to it.
+A preference pair is a training document labelled 1 over one labelled 0. The chance
+that one document beats another is the logistic function of the difference of their
+scores, scores being linear in text features, so the weights minimise the logistic loss
+on feature differences. The cut is a quantile of the training scores; a reported score
+is the logistic function of the distance to it.
 
 The fit takes at most ``MAX_FIT`` labelled rows (those with the smallest hash of
-their id); features and scores cover every whole text.
+their id) and ``PAIRS`` pairs drawn from them; features and scores cover every whole
+text.
 
 Defined results: null and empty texts have the features of an empty text and get a
 score like any other; without both labels among the training rows every score is
 0.5; null ids count as training remainder 0 but have no label; repeated rows and
-ids give one result row each; several labels of one id are each a training row.
+ids give one result row each; several labels of one id are each a training row; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,7 +122,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffer(batch.column("text"))
         rows = [text_features(data[a:b]).tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], names=["quality", "features"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("o1", "o2", "quality")), pa.array(rows, pa.list_(pa.float64()))], names=["o1", "o2", "quality", "features"])
 
 
 def held_out() -> Column:
@@ -133,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, quantile:
     prepare(docs.sparkSession)
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("long").alias("quality"))
     marks = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_fit)  # bounded by max_fit
-    sample = with_text(docs).join(F.broadcast(marks), "doc_id").select("quality", "text").mapInArrow(_features, "quality long, features array<double>").toArrow()
+    sample = with_text(docs).join(F.broadcast(marks), "doc_id").select(F.xxhash64("doc_id").alias("o1"), F.xxhash64("text").alias("o2"), "quality", "text")
+    # rows with one id may be many; the limit keeps the bound
+    sample = sample.mapInArrow(_features, "o1 long, o2 long, quality long, features array<double>").orderBy("o1", "o2", "quality").limit(max_fit).toArrow()
     x = np.array(sample.column("features").to_pylist(), float).reshape(-1, N_FEATURES)
     y = np.array(sample.column("quality").to_pylist(), int)
     order = np.lexsort((*x.T, y)) if len(x) else []  # the same model however rows arrive
@@ -160,7 +164,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
 
 def accepted(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """The documents with a score of 0.5 or more, all columns."""
+    """The documents with a score of 0.5 or more, all columns, repeated rows and null texts judged alike."""
     prepare(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
