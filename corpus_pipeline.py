@@ -3,7 +3,8 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame. All but the last return the columns of documents. The pipeline has no
 SQL equivalent (a trained classifier and a tokenizer are in it); its tests compare it
-with plain versions of its stages.
+with plain versions of its stages. Empty tables pass through all stages; documents may
+have further columns of any name.
 """
 
 from __future__ import annotations
@@ -13,32 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from waveline.llm import decontaminate, near_duplicates, packing, quality, suffix_dedup
 from waveline.llm.common import Scratch
 
-#: Bytes of a repeated string; passages of over 50 words have about 300.
-REPEAT_BYTES = 256
+#: Bytes of a repeated string: 51 words of spoken English have about 255.
+REPEAT_BYTES = 240
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking puts above the cut."""
+    """Documents that the ranking puts above the cut; null and empty texts are judged like any other."""
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates; those without a word or an id stay."""
     return near_duplicates.keep_first(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur more than once."""
+    """Every document, its text without the passages that occur more than once; null texts stay null."""
     return suffix_dedup.clean(docs, REPEAT_BYTES)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item in them."""
+    """Documents without a benchmark item in them; those without a word stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all remaining documents with their places in sequences."""
+    """The pieces of all remaining documents with their places in sequences; an empty text is its end token."""
     return packing.pack(docs)
 
 
