@@ -251,9 +251,8 @@ def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = LENGTH)
         .withColumn("n", F.expr("case when p0 <> p1 then 2L else 1L end"))
         .drop("p0", "p1")
     )
-    # every anchor meets its context's number of places: a row each, however hot the context
-    told = scratch.table(anchors.select("context", "h1", "h2", "lo", "stop").join(contexts.select("context", "n"), "context").drop("context"))
-    found.append(told.where("n > 1").select("h1", "h2", "lo", F.col("stop").alias("hi")))
+    # a row for each anchor of a repeated context at most, however hot it is
+    found.append(anchors.select("context", "h1", "h2", "lo", "stop").join(contexts.where("n > 1").select("context"), "context", "left_semi").select("h1", "h2", "lo", F.col("stop").alias("hi")))
     half = (length - GRAM) // 2
     left = F.struct(F.col("left").alias("core"), F.col("left_all").alias("whole"), F.col("lo").alias("s0"), F.least(F.col("at") - half, F.col("hi") - length).alias("s1"), (F.col("at") - (length - GRAM)).alias("f0"), (F.col("at") - half).alias("f1"))
     right = F.struct(F.col("right").alias("core"), F.col("right_all").alias("whole"), F.greatest(F.col("lo"), F.col("at") - half + 1).alias("s0"), F.least(F.col("at"), F.col("hi") - length).alias("s1"), (F.col("at") - half + 1).alias("f0"), F.col("at").alias("f1"))
@@ -262,8 +261,8 @@ def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = LENGTH)
     shared = scratch.table(sides.join(cores.select("core").hint("shuffle_hash"), "core"))  # eight bytes a row to hash, many times more to sort
     # halves that are equal as a whole are repeated as a whole; one of them stays to be compared with others of its core
     spots = scratch.table(shared.groupBy("core", "whole").agg(F.count("*").alias("k"), F.max("n").alias("top"), *(F.first(c).alias(c) for c in ("h1", "h2", "s0", "s1", "f0", "f1"))))
-    told = scratch.table(shared.join(spots.select("core", "whole", "k"), ["core", "whole"]).select("h1", "h2", "s0", "s1", "n", "k"))
-    found.append(told.where("n = 1 and k > 1").select("h1", "h2", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi")))
+    told = shared.where("n = 1").join(spots.where("k > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    found.append(told.select("h1", "h2", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi")))
     several = scratch.table(spots.groupBy("core").agg(F.count("*").alias("m")).where("m > 1"))
     wanted = scratch.table(spots.withColumn("n", F.greatest(F.when(F.col("k") > 1, 2).otherwise(1), "top")).drop("k", "top").join(several, "core"))
     by_row = scratch.table(wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("core", "s0", "s1", "n", "m", "f0", "f1")).alias("wanted")))  # bounded by the row's text
@@ -285,8 +284,8 @@ def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = LENGTH)
         parts = scratch.table(parts.withColumns({"core": F.xxhash64("held"), "e1": F.xxhash64("span"), "e2": F.hash("span"), "place": F.xxhash64("h1", "h2", "s0")}).drop("held"))
         # equal spans at two places are repeated whole; one of them, that with the least place, stays to be compared
         spots = scratch.table(parts.groupBy("core", "e1", "e2").agg(F.max("n").alias("top"), F.min("place").alias("one"), F.max("place").alias("other")).withColumn("twice", F.expr("one <> other or top > 1")).drop("top", "other"))
-        told = scratch.table(parts.select("core", "e1", "e2", "h1", "h2", "s0", "s1").join(spots.select("core", "e1", "e2", "twice"), ["core", "e1", "e2"]).select("h1", "h2", "s0", "s1", "twice"))
-        found.append(told.where("twice").select("h1", "h2", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi")))
+        told = parts.select("core", "e1", "e2", "h1", "h2", "s0", "s1").join(spots.where("twice").select("core", "e1", "e2"), ["core", "e1", "e2"], "left_semi")
+        found.append(told.select("h1", "h2", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi")))
         large = scratch.table(spots.groupBy("core").agg(F.count("*").alias("m")).where("m > 1"))
         kept = spots.join(large, "core").select("core", "e1", "e2", F.col("one").alias("place"), "m", F.expr("case when twice then 2L else 1L end").alias("n"))
         again = scratch.table(parts.drop("n").join(kept, ["core", "e1", "e2", "place"]).dropDuplicates(["core", "e1", "e2"]).select("h1", "h2", "core", "s0", "s1", "n", "m", "f0", "f1", "span"))
