@@ -357,8 +357,8 @@ def id_stream_per_file(spark, sf_dir):
 
 @_query(f"SELECT node, key, count(*) AS freq FROM {S} GROUP BY node, key")
 def tokenize_keys(spark, sf_dir):
-    packed = tables.suppliers(spark, sf_dir).groupBy("node").agg(F.array_join(F.collect_list(F.col("key").cast("string")), ",").alias("value"))
-    return exact.local_frequency(text.keys_of_lines(packed, LS))
+    # frequencies have no domain: as in the SQL, every key counts
+    return exact.local_frequency(text.keys_of_lines(text.lines_of_keys(tables.suppliers(spark, sf_dir), ("node",))))
 
 
 @_query(f"SELECT * FROM {_freq(P)}")

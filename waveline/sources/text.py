@@ -32,10 +32,15 @@ def read_keys(spark: SparkSession, path: str, levels: int | None = None, glob: s
     return keys_of_lines(lines, levels)
 
 
+def lines_of_keys(keys: DataFrame, by: tuple[str, ...] = (), per_line: int = 1000) -> DataFrame:
+    """(by, value): comma-joined keys, at most ``per_line`` to a line, in no order."""
+    dealt = keys.select(*by, "key", F.floor(F.monotonically_increasing_id() / per_line).alias("_line"))
+    return dealt.groupBy(*by, "_line").agg(F.array_join(F.collect_list(F.col("key").cast("string")), ",").alias("value")).drop("_line")
+
+
 def write_keys(keys: DataFrame, path: str, mode: str = "overwrite", per_line: int = 1000) -> None:
     """Comma-joined keys, at most ``per_line`` to a line, in no order."""
-    dealt = keys.select("key", F.floor(F.monotonically_increasing_id() / per_line).alias("_line"))
-    dealt.groupBy("_line").agg(F.array_join(F.collect_list(F.col("key").cast("string")), ",").alias("value")).select("value").write.mode(mode).text(path)
+    lines_of_keys(keys, per_line=per_line).write.mode(mode).text(path)
 
 
 _NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
