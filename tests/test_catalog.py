@@ -41,7 +41,7 @@ def rows_of_keys(tmp_path, keys):
     return con
 
 
-@pytest.mark.parametrize("name", ["tokenize_keys"])
+@pytest.mark.parametrize("name", ["tokenize_keys", "key_file_roundtrip"])
 def test_frequencies_have_no_domain(spark, tmp_path, name):
     con = rows_of_keys(tmp_path, [0, 5, 5, 1022, 1023, 1024, 1024, 59_999, 10**12] * 3)
     df = catalog.queries()[name](spark, str(tmp_path))

@@ -413,7 +413,7 @@ def key_file_roundtrip(spark, sf_dir):
     keys = tables.suppliers(spark, sf_dir)
     text.write_keys(keys, f"{path}/a.keys", mode="errorifexists")
     text.write_keys(keys, f"{path}/a.other")
-    return exact.frequency(text.read_keys(spark, f"{path}/a.keys", LS, glob="*.txt"))
+    return exact.frequency(text.read_keys(spark, f"{path}/a.keys", glob="*.txt"))
 
 
 @_query(f"SELECT * FROM {_freq(S)}")
