@@ -89,6 +89,16 @@ def test_key_outside_the_domain(spark):
         text.keys_of_lines(lines, 3).collect()
 
 
+def test_segments_of_keys_outside_the_domain(spark):
+    keys = spark.createDataFrame([(k, 0) for k in [1, 1, 2, 7, 9, 12, 12, 70, 70, 70, 10**6, 10**6, 10**12]], "key long, node long")
+    top = exact.central_topk(keys, 3, 30)
+    assert top.where("idx > 1000").count() > 1
+    runs = sorted(tuple(r) for r in reconstruct.segments(top, 3).collect())
+    values = {r.key: r.value for r in reconstruct.frequencies(top, 3).collect()}
+    assert [k for lo, hi, _ in runs for k in range(lo, hi + 1)] == list(range(1, 9))
+    assert all(values[k] == v for lo, hi, v in runs for k in range(lo, hi + 1))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "keys").mkdir()
     (tmp_path / "keys" / "a.txt").write_text("1,2 3\n\n4,4\n")

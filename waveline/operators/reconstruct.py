@@ -28,9 +28,12 @@ def segments(coefs: DataFrame, levels: int) -> DataFrame:
     """(lo, hi, value): the runs of equal value, at most three for each coefficient and one more.
 
     The breakpoints of the synopsis are ordered in one task: a top-k set is small by its k.
+    Keys outside the domain make coefficients of higher indexes, which no key of the
+    domain has on its path: beyond twice the domain, where their support would be less
+    than one key, they have no segment.
     """
     spark, top = coefs.sparkSession, 1 << levels
-    inner = coefs.where("idx > 1").select((F.col("idx") - 1).alias("z")).withColumn("depth", bits(F.col("z")))
+    inner = coefs.where((F.col("idx") > 1) & (F.col("idx") <= 2 * top)).select((F.col("idx") - 1).alias("z")).withColumn("depth", bits(F.col("z")))
     size = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(levels) - F.col("depth")).cast("int"))
     start = (F.col("z") - F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth").cast("int"))) * size + 1
     breaks = inner.select(F.explode(F.array(start, start + F.expr("1L") * (size / 2).cast("long"), start + size)).alias("lo"))
