@@ -287,6 +287,17 @@ def test_copies_are_repeated_whole(spark):
     assert sorted({(r.n_bytes, r.n_removed, r.n_spans) for r in got}) == [(10, 0, 0), (len(text), len(text), 1)] and len(got) == 43
 
 
+def test_what_is_left_as_text(spark, tmp_path):
+    common = " ".join(f"word{i * 7919 % 1000}" for i in range(80))
+    rows = [(1, f"one \u00e9{common}\u00e9 end"), (2, f"two \u00a9{common}\u00e8"), (3, f"{common}"), (4, "short \u00e9"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op1_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    # bytes c3 and a9 of two characters are left side by side, which make no third one
+    assert [got[i].text for i in range(1, 6)] == ["one  end", "two ", "", "short \u00e9", ""]
+    assert got[1].kept_sha256 == hashlib.sha256(b"one \xc3\xa9 end").hexdigest() and got[1].n_spans == 1
+    assert got[4].kept_sha256 == hashlib.sha256(got[4].text.encode()).hexdigest()
+
+
 @has_tables
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline
